@@ -70,16 +70,15 @@ def with_norm_ppf(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """
     step = df
     for out, p in columns.items():
-        step = step.withColumn(f"_q_{out}", p - 0.5)
-    step = step.withColumns({f"_r_{out}": _argument(F.col(f"_q_{out}")) for out in columns})
-    step = step.withColumns({out: _quantile(F.col(f"_q_{out}"), F.col(f"_r_{out}")) for out in columns})
-    return step.drop(*[f"_{k}_{out}" for out in columns for k in "qr"])
+        step = step.withColumn(f"_p_{out}", F.coalesce(p, F.lit(NAN)))
+    step = step.withColumns({f"_r_{out}": _argument(F.col(f"_p_{out}")) for out in columns})
+    step = step.withColumns({out: _quantile(F.col(f"_p_{out}"), F.col(f"_r_{out}")) for out in columns})
+    return step.drop(*[f"_{k}_{out}" for out in columns for k in "pr"])
 
 
 def norm_ppf(p: Column) -> Column:
     """The same as one Column; for large tables use ``with_norm_ppf``."""
-    q = p - 0.5
-    return _quantile(q, _argument(q))
+    return _quantile(p, _argument(p))
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
@@ -87,20 +86,23 @@ def rounded(c: Column | str, digits: int = 6) -> Column:
     return F.round(_col(c), digits) + F.lit(0.0)
 
 
-def _argument(q: Column) -> Column:
-    """Centre: offset minus q squared (at most the offset); tails: a negated root of a logarithm.
+def _argument(p: Column) -> Column:
+    """Centre: offset minus the squared distance from 0.5 (never negative); tails: a negated root.
 
-    The tail value is negated to tell the tails from the centre: it is below -1.5 there, while the
-    centre value is never negative.
+    The sign tells the two apart: in the tails the value is below -1.6.
     """
-    return F.when(F.abs(q) <= PPF_CENTRE_HALF_WIDTH, PPF_CENTRE_OFFSET - q * q).otherwise(
-        -F.sqrt(-F.log(0.5 - F.abs(q)))
+    q = p - 0.5
+    argument = F.when(F.abs(q) <= PPF_CENTRE_HALF_WIDTH, PPF_CENTRE_OFFSET - q * q).otherwise(
+        -F.sqrt(-F.log(F.least(p, 1.0 - p)))
     )
+    # never null in fact; saying so keeps null checks out of the generated polynomials
+    return F.coalesce(argument, F.lit(NAN))
 
 
-def _quantile(q: Column, r: Column) -> Column:
+def _quantile(p: Column, r: Column) -> Column:
+    q = p - 0.5
     return (
-        F.when(F.abs(q) <= PPF_CENTRE_HALF_WIDTH, q * _rational(PPF_CENTRE, r))
+        F.when(r >= 0, q * _rational(PPF_CENTRE, r))
         .when(r >= -PPF_MIDDLE_LIMIT, F.signum(q) * _rational(PPF_MIDDLE, -r - PPF_MIDDLE_OFFSET))
         .otherwise(F.signum(q) * _rational(PPF_TAIL, -r - PPF_MIDDLE_LIMIT))
     )

@@ -112,9 +112,12 @@ def ensemble(
 def add_normal_scores(
     df: DataFrame, columns: Mapping[str, str], by: Sequence[str], how: str, small: bool
 ) -> DataFrame:
-    ranked = _ranked(df, {f"_rank_{o}": c for o, c in columns.items()}, by, how, small)
-    scored = with_normal_scores(ranked, {o: f"_rank_{o}" for o in columns}, "_n")
-    return scored.drop("_n", *[f"_rank_{o}" for o in columns])
+    # one column after the other: the polynomials of two columns in one projection would exceed what
+    # the JVM compiles
+    for out, column in columns.items():
+        ranked = _ranked(df, {"_rank": column}, by, how, small)
+        df = with_normal_scores(ranked, {out: "_rank"}, "_n").drop("_n", "_rank")
+    return df
 
 
 def add_ensemble(

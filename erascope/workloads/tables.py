@@ -45,3 +45,53 @@ def line_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("l_linenumber") - 1) % 5).cast("tinyint").alias("feature_4"),
         (F.col("l_suppkey") % 5).cast("tinyint").alias("feature_5"),
     )
+
+
+def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event panel with the raw layout's labels and targets plus the day number ``d`` (helper column)."""
+    t = F.col("target")
+    number = F.col("id").cast("long")
+    d = F.col("era")
+    label = (
+        F.when(d <= 15, "train").when(d < 26, "validation").when(d <= 29, "test").otherwise("live")
+    )
+    return event_panel(spark, sf_dir).select(
+        "id",
+        F.when(d == 30, F.lit("X")).otherwise(F.lpad(d.cast("string"), 4, "0")).alias("era"),
+        label.alias("data_type"),
+        *EVENT_FEATURES,
+        F.when(d < 26, t).alias("target"),
+        F.when(d < 26, t).alias("target_cyrusd_20"),
+        F.when(d < 18, t).alias("target_cyrusd_60"),
+        F.when((d < 26) & (number % 11 != 0), t).alias("target_jeremy_20"),
+        F.when((d < 18) & (number % 13 != 0), t).alias("target_jeremy_60"),
+        (F.col("preds_0") / 500).alias("_benchmark"),
+        (F.col("meta") / 150).alias("_meta"),
+        d.alias("_d"),
+    )
+
+
+def raw_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The seven raw parts as lazy frames, by file name."""
+    rows = raw_panel(spark, sf_dir)
+    d = F.col("_d")
+    pieces = {"train": d <= 15, "validation": (d > 15) & (d < 30), "live": d == 30}
+    parts = {n: rows.where(c).drop("_benchmark", "_meta", "_d") for n, c in pieces.items()}
+    for n, c in pieces.items():
+        parts[f"{n}_benchmark_models"] = rows.where(c & (d >= 10)).select(
+            "id", "era", F.col("_benchmark").alias("v5_lgbm_cyrusd20")
+        )
+    parts["meta_model"] = rows.where((d >= 18) & (d < 26)).select(
+        "id", "era", "data_type", F.col("_meta").alias(META_COLUMN)
+    )
+    return parts
+
+
+def write_raw(spark: SparkSession, sf_dir: str, raw_dir: str) -> None:
+    """Write the seven raw parts and the feature catalogue."""
+    from erascope.sources.catalogue import write_feature_sets
+
+    for name, part in raw_parts(spark, sf_dir).items():
+        part.write.mode("overwrite").parquet(f"{raw_dir}/{name}.parquet")
+    sets = {"small": EVENT_FEATURES[:3], "medium": EVENT_FEATURES[:4], "all": EVENT_FEATURES}
+    write_feature_sets(spark, raw_dir, sets)
