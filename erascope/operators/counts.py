@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erascope import schema as S
@@ -105,9 +105,14 @@ def pair_counts_of(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("f1", "f2", "u", "v").agg(F.sum("n").alias("n"))
 
 
+def partial_tasks(spark: SparkSession) -> int:
+    """Upper limit for tasks that each emit a whole partial table: enough to keep every core busy."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _tiled(rows: DataFrame, features: list[str], levels: int, tile: int, max_tasks: int | None) -> DataFrame:
     tiles = [range(s, min(s + tile, len(features))) for s in range(0, len(features), tile)]
-    tasks = max_tasks or 4 * rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max_tasks or partial_tasks(rows.sparkSession)
     cells = [f"c{u}_{v}" for u in range(levels) for v in range(levels)]
     schema = "f1 int, f2 int, y tinyint, " + ", ".join(f"{c} bigint" for c in cells)
     partial = None

@@ -84,7 +84,8 @@ def copy_feature_sets(spark: SparkSession, source_dir: str, data_dir: str) -> No
 
 def write_selected(selected: DataFrame, path: str) -> None:
     """S9. One feature name per line, in order of ``pos``."""
-    selected.orderBy("pos").select(F.col("feature").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    ordered = selected.repartition(1).sortWithinPartitions("pos")
+    ordered.select(F.col("feature").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_selected(spark: SparkSession, path: str) -> DataFrame:
