@@ -125,10 +125,9 @@ def add_group_stats(
         return df.withColumns({name: agg.over(over) for name, agg in stats.items()})
     keys = list(by)
     if not keys:
-        # one group: the table is a single row under a constant key
-        keyed = df.withColumn("_all", F.lit(0))
-        one = keyed.groupBy("_all").agg(*[agg.alias(name) for name, agg in stats.items()])
-        return _join_back(keyed, F.broadcast(one), ["_all"]).drop("_all")
+        # one group: each value is a scalar subquery
+        one = df.agg(*[agg.alias(name) for name, agg in stats.items()])
+        return df.withColumns({name: one.select(name).scalar() for name in stats})
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
     return _join_back(df, F.broadcast(table) if small else table, keys)
 

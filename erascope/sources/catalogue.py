@@ -90,7 +90,7 @@ def write_selected(selected: DataFrame, path: str) -> None:
 
 def read_selected(spark: SparkSession, path: str) -> DataFrame:
     """Names written by ``write_selected`` as ``(pos, feature)``; the file is read as one text."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     return lines.select(F.posexplode(F.split(F.rtrim("value", F.lit("\n")), "\n")).alias("pos", "feature"))
 
 
@@ -106,6 +106,6 @@ def _entries(spark: SparkSession, path: str, priority: int) -> DataFrame:
 
 def _extra_entries(spark: SparkSession, path: str, priority: int) -> DataFrame:
     # the extra file is the bare map, without the enclosing key
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     sets = text.select(F.from_json("value", "map<string, array<string>>").alias("sets"))
     return sets.select(F.explode("sets").alias("set_name", "features"), F.lit(priority).alias("priority"))
