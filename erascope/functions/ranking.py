@@ -69,15 +69,16 @@ class GroupProfile:
 
 
 def profile_groups(df: DataFrame, by: Sequence[str], limit: int = HOT_GROUP_ROWS) -> GroupProfile:
-    """One aggregate over the group columns; a second small one only when hot groups exist."""
+    """One job over the group columns. Only keys of groups above the limit are listed: few by nature."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest")).first()
-    largest = top["largest"] or 0
-    if largest <= limit:
-        return GroupProfile(top["groups"], largest, ())
-    listed = sizes.where(F.col("n") > limit).select(*by).limit(MAX_LISTED_GROUPS + 1).collect()
-    hot = None if len(listed) > MAX_LISTED_GROUPS else tuple(tuple(r) for r in listed)
-    return GroupProfile(top["groups"], largest, hot)
+    hot = F.collect_list(F.when(F.col("n") > limit, F.struct(*by)))
+    top = sizes.agg(
+        F.count(F.lit(1)).alias("groups"),
+        F.max("n").alias("largest"),
+        F.slice(hot, 1, MAX_LISTED_GROUPS + 1).alias("hot"),
+    ).first()
+    listed = tuple(tuple(key) for key in top["hot"])
+    return GroupProfile(top["groups"], top["largest"] or 0, listed if len(listed) <= MAX_LISTED_GROUPS else None)
 
 
 def per_group(
@@ -104,12 +105,21 @@ def per_group(
         return build(df, "window", small)
     if profile.hot is None:
         return build(df, "prefix", small)
-    is_hot = reduce(lambda a, b: a | b, [_key_equals(by, key) for key in profile.hot])
+    is_hot = _is_listed(by, profile.hot)
     return build(df.where(~is_hot), "window", small).unionByName(build(df.where(is_hot), "prefix", small))
 
 
-def _key_equals(by: Sequence[str], key: tuple) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.lit(v)) for name, v in zip(by, key)])
+def _is_listed(by: Sequence[str], keys: Sequence[tuple]) -> Column:
+    """True for rows of the listed groups; a null key is a value of its own."""
+    if len(by) == 1:
+        # one set lookup per row, however many groups are listed
+        known = [k[0] for k in keys if k[0] is not None]
+        listed = F.coalesce(F.col(by[0]).isin(known), F.lit(False))
+        return listed | F.col(by[0]).isNull() if len(known) < len(keys) else listed
+    equal = [
+        reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.lit(v)) for name, v in zip(by, key)]) for key in keys
+    ]
+    return reduce(lambda a, b: a | b, equal)
 
 
 def add_group_stats(
@@ -129,7 +139,7 @@ def add_group_stats(
         one = df.agg(*[agg.alias(name) for name, agg in stats.items()])
         return df.withColumns({name: one.select(name).scalar() for name in stats})
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return _join_back(df, F.broadcast(table) if small else table, keys)
+    return join_back(df, F.broadcast(table) if small else table, keys)
 
 
 def add_average_ranks(
@@ -149,7 +159,7 @@ def add_average_ranks(
     ranked = df
     for i, (name, value) in enumerate(values.items()):
         table = value_ranks(df, value, by, name, size)
-        ranked = _join_back(ranked, table if i == 0 else table.drop(size), [*by, value])
+        ranked = join_back(ranked, table if i == 0 else table.drop(size), [*by, value])
     return ranked
 
 
@@ -175,7 +185,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str], rank: str = "rank"
     # at most VALUES_PER_BIN rows per partition
     before_value = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = counts.withColumn("_before", F.coalesce(F.sum("_count").over(before_value), F.lit(0)))
-    joined = _join_back(inside, bins, [*keys, "_bin"])
+    joined = join_back(inside, bins, [*keys, "_bin"])
     return joined.select(
         *keys,
         value,
@@ -184,12 +194,30 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str], rank: str = "rank"
     )
 
 
-def with_normal_scores(df: DataFrame, ranks: Mapping[str, str], size: str) -> DataFrame:
-    """Normal score of each average rank (output name -> rank column) in a group of ``size`` rows."""
-    return with_norm_ppf(df, {out: (F.col(rank) - 0.5) / F.col(size) for out, rank in ranks.items()})
+def add_normal_scores(
+    df: DataFrame, values: Mapping[str, str], by: Sequence[str], how: str, small: bool = False
+) -> DataFrame:
+    """Add the normal score of the average rank of each float32 column in ``values`` (output name -> column).
+
+    Under ``prefix`` the scores are computed once per distinct value and joined to the rows. Columns are
+    handled one after the other: the polynomials of two columns in one projection would make a method
+    that the JVM does not compile.
+    """
+    for out, value in values.items():
+        if how == "window":
+            ranked = add_average_ranks(df, {"_rank": value}, by, how, small, size="_n")
+            df = _scored(ranked, out).drop("_n", "_rank")
+        else:
+            table = _scored(value_ranks(df, value, by, "_rank", "_n"), out)
+            df = join_back(df, table.drop("_n", "_rank"), [*by, value])
+    return df
+
+
+def _scored(ranked: DataFrame, out: str) -> DataFrame:
+    return with_norm_ppf(ranked, {out: (F.col("_rank") - 0.5) / F.col("_n")})
 
 
-def _join_back(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_back(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the non-key columns of ``table`` (unique on ``keys``) to every row.
 
     Plain equality, so a partitioning by the keys is reused; a row without a group gets nulls.

@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from erascope.functions import ranking
 from erascope.functions.numeric import nan_if_null, safe_div, signed_power
 from erascope.functions.ranking import (
     HOT_GROUP_ROWS,
@@ -18,8 +19,8 @@ from erascope.functions.ranking import (
     add_group_stats,
     as_rankable,
     per_group,
-    with_normal_scores,
 )
+from erascope.session import scratch_path
 
 BY_ERA = ("era",)
 
@@ -112,12 +113,9 @@ def ensemble(
 def add_normal_scores(
     df: DataFrame, columns: Mapping[str, str], by: Sequence[str], how: str, small: bool
 ) -> DataFrame:
-    # one column after the other: the polynomials of two columns in one projection would exceed what
-    # the JVM compiles
-    for out, column in columns.items():
-        ranked = _ranked(df, {"_rank": column}, by, how, small)
-        df = with_normal_scores(ranked, {out: "_rank"}, "_n").drop("_n", "_rank")
-    return df
+    values = {o: f"_value_{o}" for o in columns}
+    prepared = df.withColumns({values[o]: as_rankable(c) for o, c in columns.items()})
+    return ranking.add_normal_scores(prepared, values, by, how, small).drop(*values.values())
 
 
 def add_ensemble(
@@ -129,8 +127,17 @@ def add_ensemble(
     scored = add_group_stats(scored, spread, by, how, small)
     total = sum((safe_div(F.col(f"_g_{i}"), F.col(f"_s_{i}")) for i in range(len(preds))), F.lit(0.0))
     scored = scored.withColumn("_mean", F.round(total / len(preds), ENSEMBLE_DIGITS) + F.lit(0.0))
-    result = add_normal_scores(scored, {out: "_mean"}, by, how, small)
-    return result.drop("_mean", *scores, *spread)
+    scored = scored.drop(*scores, *spread)
+    if how == "prefix":
+        # the means are read twice, for their distinct values and for the rows: written down once
+        scored = _written(scored)
+    return add_normal_scores(scored, {out: "_mean"}, by, how, small).drop("_mean")
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "ensemble")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _ranked(

@@ -62,13 +62,11 @@ class EraScoreStream:
             *dict.fromkeys([self.target, self.meta, *self.preds]),
         )
         _replace_partitions(rows.hint("rebalance", "era"), f"{self.root}/{ROWS}", ["split", "era", "batch_id"])
-        stored = self.rows(spark).where(F.col("split") == self.split)
-        # the eras of this batch: read from the partition values of what was just written
-        touched = [r["era"] for r in stored.where(F.col("batch_id") == batch_id).select("era").distinct().collect()]
+        touched = [r["era"] for r in rows.select("era").distinct().collect()]
         if not touched:
             return
         scores = era_scores(
-            stored.where(F.col("era").isin(touched)),
+            self.rows_of(spark, touched),
             self.preds, self.target, self.meta, "era", self.metrics, self.strategy, self.hot_rows,
         ).withColumn("split", F.lit(self.split))
         _replace_partitions(scores, f"{self.root}/{SCORES}", ["split", "era"])
@@ -76,6 +74,12 @@ class EraScoreStream:
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/{ROWS}")
 
+    def rows_of(self, spark: SparkSession, eras: Sequence[int]) -> DataFrame:
+        """Stored rows of some eras; only their folders are listed."""
+        base = f"{self.root}/{ROWS}"
+        paths = [f"{base}/split={self.split}/era={e}" for e in eras]
+        return spark.read.option("basePath", base).parquet(*paths)
+
     def scores(self, spark: SparkSession) -> DataFrame:
         """Current era scores: ``split, era, n`` and the metrics."""
         path = f"{self.root}/{SCORES}"
