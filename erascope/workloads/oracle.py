@@ -154,10 +154,10 @@ def long_features(source: str, features, extra: str = "", where: str = "true") -
 
 def pair_rows(source: str, features, where: str = "true") -> str:
     """All ordered pairs (full square) with the target class."""
-    values = ", ".join(f"({i}, CAST({c} AS INTEGER))" for i, c in enumerate(features))
+    values = ", ".join(f"({i}, CAST({c} AS TINYINT))" for i, c in enumerate(features))
     side = f"(VALUES {values})"
     return (
-        f"pairs AS (SELECT a.f AS f1, b.f AS f2, a.x AS u, b.x AS v, CAST(trunc(4 * target) AS INTEGER) AS y"
+        f"pairs AS (SELECT a.f AS f1, b.f AS f2, a.x AS u, b.x AS v, CAST(trunc(4 * target) AS TINYINT) AS y"
         f" FROM {source}, LATERAL {side} AS a(f, x), LATERAL {side} AS b(f, x) WHERE {where})"
     )
 
@@ -344,7 +344,7 @@ def build() -> dict[str, str]:
     )
     sql["s9_selected_sink"] = query(
         *event_info,
-        select=f"SELECT row_number() OVER (ORDER BY rel DESC, f) - 1 AS pos, {named('f', EVENT_FEATURES)} AS feature"
+        select=f"SELECT CAST(row_number() OVER (ORDER BY rel DESC, f) - 1 AS INTEGER) AS pos, {named('f', EVENT_FEATURES)} AS feature"
         " FROM rel ORDER BY rel DESC, f LIMIT 3",
     )
     both_splits = [
@@ -712,6 +712,6 @@ def build() -> dict[str, str]:
             f"SELECT {i} AS f, '{c}' AS feature, covar_pop({c}, target) AS c FROM panel"
             for i, c in enumerate(EVENT_FEATURES)
         ) + ")",
-        select="SELECT row_number() OVER (ORDER BY c DESC, f) - 1 AS pos, feature FROM cov WHERE c > 0",
+        select="SELECT CAST(row_number() OVER (ORDER BY c DESC, f) - 1 AS INTEGER) AS pos, feature FROM cov WHERE c > 0",
     )
     return sql
