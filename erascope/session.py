@@ -35,15 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
     On a local master with nothing configured a temporary folder is made once per session. On a real
     cluster an unset folder is an error, because a machine-local path would lose data with its machine.
     """
+    context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+    if context.getCheckpointDir() is None:
+        if not configured and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="erascope-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(configured)
-    return configured.rstrip("/")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="erascope-"))
+    return (configured or context.getCheckpointDir()).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
