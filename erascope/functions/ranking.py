@@ -148,7 +148,7 @@ def add_average_ranks(
     """Add the average rank of each column in ``values`` (output name -> float32 column) and the group size."""
     if how == "window":
         over = Window.partitionBy(*by)
-        ranked = df.withColumn(size, F.count(F.lit(1)).over(over))
+        ranked = df if size in df.columns else df.withColumn(size, F.count(F.lit(1)).over(over))
         for name, value in values.items():
             ordered = over.orderBy(F.col(value))
             # peers share rank(); the default RANGE frame counts rows up to and including the peers
@@ -206,11 +206,11 @@ def add_normal_scores(
     for out, value in values.items():
         if how == "window":
             ranked = add_average_ranks(df, {"_rank": value}, by, how, small, size="_n")
-            df = _scored(ranked, out).drop("_n", "_rank")
+            df = _scored(ranked, out).drop("_rank")
         else:
             table = _scored(value_ranks(df, value, by, "_rank", "_n"), out)
             df = join_back(df, table.drop("_n", "_rank"), [*by, value])
-    return df
+    return df.drop("_n")
 
 
 def _scored(ranked: DataFrame, out: str) -> DataFrame:
