@@ -91,15 +91,16 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model | None:
     The sample takes the rows with the smallest pseudo-random keys, which are scaled by the number of rows
     of the label, so that each label has about the same share and a rerun takes the same rows.
     """
-    usable = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sizes = labelled.filter(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    uniform = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    key = (uniform * F.col("size")).alias("key")
-    ids = labelled.filter(F.col("lang").isNotNull()).select("doc_id", "lang").join(sizes, "lang").select(key)
-    last = ids.orderBy("key").limit(settings.fit_rows).agg(F.max("key")).first()[0]
-    if last is None:
+    named = labelled.filter(F.col("lang").isNotNull())
+    # one number per label, as the model has one column per label
+    sizes = {r["lang"]: r["size"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("size")).collect()}
+    if not sizes:
         return None
-    chosen = usable.join(sizes, "lang").select(key, "text", "lang").filter(F.col("key") <= F.lit(last))
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(sizes.items()) for x in pair]), F.col("lang"))
+    uniform = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+    key = (uniform * size).alias("key")
+    last = named.select(key).orderBy("key").limit(settings.fit_rows).agg(F.max("key")).first()[0]
+    chosen = named.filter(F.col("text").rlike(r"\p{L}")).select(key, "text", "lang").filter(F.col("key") <= F.lit(last))
     # equal keys (one id in many rows) could exceed the bound
     rows = chosen.limit(2 * settings.fit_rows).mapInPandas(_distinct, "key double, lang string, codes array<int>").toPandas()
     if rows.empty:
