@@ -2,6 +2,44 @@
 
 from __future__ import annotations
 
+# The mix by running sums over the sorted places, without histograms.
+MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source
+), w AS (
+  SELECT *, [3.0, 1.0, 2.0][1 + (nth - 1) % 3]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS stop FROM s
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY stop / weight, nth) AS k FROM w
+), l AS (
+  SELECT a.k, ((SELECT sum(source_size) FROM r) * 1.5::DOUBLE - coalesce((SELECT sum(stop) FROM r b WHERE b.k < a.k), 0))
+         / (SELECT sum(weight) FROM r b WHERE b.k >= a.k) AS level, a.stop, a.weight
+  FROM r a
+), x AS (
+  SELECT level FROM l WHERE stop >= level * weight ORDER BY k LIMIT 1
+), t AS (
+  SELECT source, source_size, least(stop, (SELECT level FROM x) * weight) AS target FROM r
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes,
+         target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS rest
+  FROM t
+), h AS (
+  SELECT source, place, sum(size) AS words FROM d GROUP BY ALL
+), c AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place) AS passed FROM h
+), e AS (
+  SELECT c.source, c.place,
+         passes + CASE WHEN passed <= rest OR (passed - words <= rest AND (rest - (passed - words)) * 2 > words) THEN 1 ELSE 0 END AS times
+  FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, d.size, p.source_size, p.target::DOUBLE AS target, (d.size * least(e.times, 2))::BIGINT AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.place = d.place
+"""
+
 
 def build() -> dict[str, str]:
-    return {}
+    return {"op4_source_mix": MIX}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from erascope.llm.common import table
 from erascope.llm.language import identify
+from erascope.llm.mixture import mix
 from erascope.llm.simhash import group_near_duplicates
 
 
@@ -15,11 +16,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op4_source_mix": op4_source_mix,
     "op9_simhash": op9_simhash,
 }
