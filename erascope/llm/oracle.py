@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from erascope.llm.urls import all_rules
+
 # The mix by running sums over the sorted places, without histograms.
 MIX = r"""
 WITH d AS (
@@ -41,5 +43,33 @@ JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.place = d.place
 """
 
 
+# Every rule tried on every URL.
+URLS = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT page_id, translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+         translate(regexp_extract(rest, '(?s)^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+  FROM p
+), r AS (
+  SELECT * FROM (VALUES {rules}) AS t(name, verdict, base, regex)
+), f AS (
+  SELECT page_id, lowered, host, path,
+         (SELECT max_by(r, len(name)) FROM r WHERE base AND regexp_matches(q.host || q.path, regex)) AS b,
+         (SELECT min_by(r, (verdict <> 'allow')::INT::VARCHAR || name) FROM r WHERE NOT base AND regexp_matches(q.lowered, regex)) AS m
+  FROM q
+)
+SELECT page_id, host, path, b.name AS rule, coalesce(b.verdict, m.verdict, 'allow') AS verdict,
+       CASE WHEN b.name IS NULL THEN m.name END AS pattern
+FROM f
+"""
+
+
+def url_sql() -> str:
+    rows = (f"('{r.name}', '{r.verdict}', {r.base}, '(?s){r.regex}')" for r in all_rules())
+    return URLS.format(rules=", ".join(rows))
+
+
 def build() -> dict[str, str]:
-    return {"op4_source_mix": MIX}
+    return {"op4_source_mix": MIX, "op6_url_filter": url_sql()}

@@ -12,6 +12,7 @@ from erascope.llm.common import table
 from erascope.llm.language import identify
 from erascope.llm.mixture import mix
 from erascope.llm.simhash import group_near_duplicates
+from erascope.llm.urls import judge_urls
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,6 +38,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_source_mix": op4_source_mix,
+    "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
 }
