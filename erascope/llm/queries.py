@@ -11,6 +11,7 @@ from erascope.llm.bpe import encode_documents
 from erascope.llm.common import table
 from erascope.llm.language import identify
 from erascope.llm.mixture import mix
+from erascope.llm.pii import find_personal_data
 from erascope.llm.simhash import group_near_duplicates
 from erascope.llm.urls import judge_urls
 
@@ -35,10 +36,15 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_source_mix": op4_source_mix,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
+    "op10_pii": op10_pii,
 }
