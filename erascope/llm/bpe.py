@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding with the vocabulary of a tokenizer file (word ends marked, lower case).
 
 The distinct words of a slice of texts form a trie, which is walked depth first. Every node keeps the last
-token of the encoding of its prefix: the longest vocabulary entry ending there that may follow the last token
+token of the encoding of its prefix: the vocabulary entry ending there that may follow the last token
 of what is left of it. Two tokens may follow each other if encoding their joined text gives the two back, and
 an encoding is right exactly if each of its neighbours may follow each other. The states of a shared prefix
 are computed once, a word costs at most the longest token's length per letter, and texts look up what
@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 END = "</w>"
 # The file's own rule for cutting a text into words (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SLICE = 1 << 21  # letters of text whose words share a trie
-REMEMBERED = 200_000  # runs kept between slices; pure speed, results do not depend on it
+SLICE = 1 << 23  # letters of text whose words share a trie
+REMEMBERED = 400_000  # runs kept between slices; pure speed, results do not depend on it
 
 
 def byte_letters() -> list[str]:
@@ -58,7 +58,15 @@ class Encoder:
         self.ranks = {pair: i for i, pair in enumerate(vocabulary["merges"])}
         self.special: dict[str, int] = vocabulary["special"]
         self.token_of = {v: k for k, v in self.ids.items()} | {v: k for k, v in self.special.items()}
-        self.longest = max(len(k.removesuffix(END)) for k in self.ids)
+        self.inner: dict[str, str | None] = {}
+        self.final: dict[str, str | None] = {}
+        for token in self.ids:
+            marked = token.endswith(END) and token != END
+            letters = token[: -len(END)] if marked else token
+            ends = self.final if marked else self.inner
+            for i in range(1, len(letters)):
+                ends.setdefault(letters[i:])
+            ends[letters] = token
         self.letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
         self.may_follow: dict[tuple[str, str], bool] = {}
         self.runs = {name: (1, str(number), name) for name, number in self.special.items()}
@@ -88,13 +96,26 @@ class Encoder:
             known = self.may_follow[key] = self.merged([*self.symbols(before), *self.symbols(token)] if before else self.symbols(token)) == want
         return known
 
-    def last_token(self, word: str, depth: int, tail: str, tokens: list[str]) -> str:
-        """Last token of the encoding of ``word[:depth]`` with its end marked by ``tail``; ``tokens`` has the shorter prefixes."""
-        for start in range(max(0, depth - self.longest), depth):
-            token = word[start:depth] + tail
-            if token in self.ids and self.fits(tokens[start], token):
-                return token
-        raise ValueError(f"the vocabulary lacks the letter {word[depth - 1 : depth]!r}")
+    def last_token(self, path: str, depth: int, ends: dict[str, str | None], tokens: list[str]) -> str:
+        """Last token of the encoding of ``path[:depth]``; ``tokens`` has those of the shorter prefixes.
+
+        Walks back while the letters still end some entry of the vocabulary; ``ends`` has all such endings,
+        with the entry's name where the ending is one itself.
+        """
+        found, start = [], depth - 1
+        while start >= 0:
+            ending = path[start:depth]
+            if ending not in ends:
+                break
+            token = ends[ending]
+            if token:
+                found.append((tokens[start], token))
+            start -= 1
+        known = self.may_follow
+        for key in reversed(found):
+            if known[key] if key in known else self.fits(*key):
+                return key[1]
+        raise ValueError(f"the vocabulary lacks the letter {path[depth - 1 : depth]!r}")
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, str, str]]:
         """Of each distinct word: number of tokens, ids and token texts, both joined by spaces."""
@@ -109,8 +130,8 @@ class Encoder:
                 shared += 1
             del tokens[min(shared, len(path) - 1) + 1 :]
             while len(tokens) < len(path):
-                tokens.append(self.last_token(path, len(tokens), "", tokens))
-            parts = [self.last_token(path, len(path), END, tokens)]
+                tokens.append(self.last_token(path, len(tokens), self.inner, tokens))
+            parts = [self.last_token(path, len(path), self.final, tokens)]
             at = len(path) - (len(parts[0]) - len(END))
             while at:
                 parts.append(tokens[at])
