@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from erascope.llm.bpe import encode_documents
 from erascope.llm.common import table
 from erascope.llm.language import identify
+from erascope.llm.licenses import scan_licenses
 from erascope.llm.mixture import mix
 from erascope.llm.pii import find_personal_data
 from erascope.llm.simhash import group_near_duplicates
@@ -20,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_license_scan": op2_license_scan,
     "op4_source_mix": op4_source_mix,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
