@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from erascope.llm.bpe import encode_documents
 from erascope.llm.common import table
+from erascope.llm.fingerprints import fingerprint_with_edits
 from erascope.llm.language import identify
 from erascope.llm.licenses import scan_licenses
 from erascope.llm.mixture import mix
@@ -29,6 +30,10 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
     "op4_source_mix": op4_source_mix,
+    "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
     "op9_simhash": op9_simhash,
