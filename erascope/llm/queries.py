@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from erascope.llm.bpe import encode_documents
 from erascope.llm.common import table
@@ -13,6 +14,7 @@ from erascope.llm.fingerprints import fingerprint_with_edits
 from erascope.llm.language import identify
 from erascope.llm.licenses import scan_licenses
 from erascope.llm.mixture import mix
+from erascope.llm.neighbours import nearest_neighbours
 from erascope.llm.pii import find_personal_data
 from erascope.llm.simhash import group_near_duplicates
 from erascope.llm.urls import judge_urls
@@ -26,6 +28,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -53,6 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_source_mix": op4_source_mix,
     "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
