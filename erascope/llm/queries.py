@@ -13,6 +13,7 @@ from erascope.llm.common import table
 from erascope.llm.fingerprints import fingerprint_with_edits
 from erascope.llm.language import identify
 from erascope.llm.licenses import scan_licenses
+from erascope.llm.mixing_lm import score_documents
 from erascope.llm.mixture import mix
 from erascope.llm.neighbours import nearest_neighbours
 from erascope.llm.pii import find_personal_data
@@ -48,6 +49,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_bpe": op7_bpe,
+    "op8_lm_score": op8_lm_score,
     "op9_simhash": op9_simhash,
     "op10_pii": op10_pii,
 }
