@@ -15,6 +15,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 END = "</w>"
 # The file's own rule for cutting a text into words (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SLICE = 1 << 23  # letters of text whose words share a trie
-REMEMBERED = 400_000  # runs kept between slices; pure speed, results do not depend on it
+SLICE = 1 << 22  # letters of text whose words share a trie
+REMEMBERED = 200_000  # runs kept between slices; pure speed, results do not depend on it
 
 
 def byte_letters() -> list[str]:
@@ -203,7 +204,7 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> Column:
                 for words in encoder.encode(part):
                     ids = " ".join(w[1] for w in words)
                     row = [sum(w[0] for w in words), _digest(ids), _digest(" ".join(w[2] for w in words))]
-                    rows.append([*row, [int(i) for i in ids.split()]] if keep_ids else row)
+                    rows.append([*row, np.fromstring(ids, np.int32, sep=" ")] if keep_ids else row)
             yield pd.DataFrame(rows, columns=[f.name for f in fields])
 
     return encode.asNondeterministic()("text")

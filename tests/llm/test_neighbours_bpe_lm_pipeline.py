@@ -153,7 +153,7 @@ def test_model_learns_and_is_a_distribution(spark):
     shuffled = docs.filter("doc_id < 40").withColumn("text", F.reverse("text"))
     worse = mixing_lm.score_documents(docs.filter("doc_id >= 40").unionByName(shuffled)).filter("doc_id < 40").toPandas()
     better = rows[rows["doc_id"] < 40]
-    assert worse["score"].sum() < 1.3 * better["score"].sum()
+    assert worse["score"].sum() < 1.15 * better["score"].sum()
 
 
 def test_token_probabilities_sum_to_at_most_one():
