@@ -10,7 +10,8 @@ Two exact plans give the same numbers:
   in the map-side combine, and the join back to the rows is left to AQE's skew-join splitting.
 
 ``auto`` measures the group sizes first and sends only the groups above ``HOT_GROUP_ROWS`` through
-``prefix``.
+``prefix``; hot groups are marked by a join with the table of sizes. A null key is a group of its own in
+both plans.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from erascope.functions.numeric import with_norm_ppf
 
 HOT_GROUP_ROWS = 8_000_000
-MAX_LISTED_GROUPS = 500
 BROADCAST_GROUPS = 100_000
 
 # A float32 has 24 significant bits: 128 steps per power of two leave at most 2**16 values per bin;
@@ -65,20 +65,16 @@ class GroupProfile:
 
     groups: int
     largest: int
-    hot: tuple | None  # key tuples of groups above the limit; None when there are too many to list
+    hot: int  # groups above the limit
 
 
 def profile_groups(df: DataFrame, by: Sequence[str], limit: int = HOT_GROUP_ROWS) -> GroupProfile:
-    """One job over the group columns. Only keys of groups above the limit are listed: few by nature."""
+    """One job over the group columns; three numbers reach the driver."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    hot = F.collect_list(F.when(F.col("n") > limit, F.struct(*by)))
     top = sizes.agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.max("n").alias("largest"),
-        F.slice(hot, 1, MAX_LISTED_GROUPS + 1).alias("hot"),
+        F.count(F.lit(1)).alias("groups"), F.max("n").alias("largest"), F.count_if(F.col("n") > limit).alias("hot")
     ).first()
-    listed = tuple(tuple(key) for key in top["hot"])
-    return GroupProfile(top["groups"], top["largest"] or 0, listed if len(listed) <= MAX_LISTED_GROUPS else None)
+    return GroupProfile(top["groups"], top["largest"] or 0, top["hot"])
 
 
 def per_group(
@@ -101,25 +97,16 @@ def per_group(
         return build(df, strategy, False)
     profile = profile_groups(df, by, limit)
     small = profile.groups <= BROADCAST_GROUPS
-    if profile.hot == ():
+    if profile.hot == 0:
         return build(df, "window", small)
-    if profile.hot is None:
+    if profile.hot == profile.groups:
         return build(df, "prefix", small)
-    is_hot = _is_listed(by, profile.hot)
-    return build(df.where(~is_hot), "window", small).unionByName(build(df.where(is_hot), "prefix", small))
-
-
-def _is_listed(by: Sequence[str], keys: Sequence[tuple]) -> Column:
-    """True for rows of the listed groups; a null key is a value of its own."""
-    if len(by) == 1:
-        # one set lookup per row, however many groups are listed
-        known = [k[0] for k in keys if k[0] is not None]
-        listed = F.coalesce(F.col(by[0]).isin(known), F.lit(False))
-        return listed | F.col(by[0]).isNull() if len(known) < len(keys) else listed
-    equal = [
-        reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.lit(v)) for name, v in zip(by, key)]) for key in keys
-    ]
-    return reduce(lambda a, b: a | b, equal)
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.where(F.col("_n") > limit).select(*by, F.lit(True).alias("_hot"))
+    # there is one hot group per ``limit`` rows of the table at most; their number was measured
+    marked = join_back(df, F.broadcast(hot) if profile.hot <= BROADCAST_GROUPS else hot, by, by)
+    cold_rows, hot_rows = marked.where("_hot IS NULL").drop("_hot"), marked.where("_hot").drop("_hot")
+    return build(cold_rows, "window", small).unionByName(build(hot_rows, "prefix", small))
 
 
 def add_group_stats(
@@ -139,7 +126,7 @@ def add_group_stats(
         one = df.agg(*[agg.alias(name) for name, agg in stats.items()])
         return df.withColumns({name: one.select(name).scalar() for name in stats})
     table = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in stats.items()])
-    return join_back(df, F.broadcast(table) if small else table, keys)
+    return join_back(df, F.broadcast(table) if small else table, keys, keys)
 
 
 def add_average_ranks(
@@ -159,7 +146,7 @@ def add_average_ranks(
     ranked = df
     for i, (name, value) in enumerate(values.items()):
         table = value_ranks(df, value, by, name, size)
-        ranked = join_back(ranked, table if i == 0 else table.drop(size), [*by, value])
+        ranked = join_back(ranked, table if i == 0 else table.drop(size), [*by, value], by)
     return ranked
 
 
@@ -185,7 +172,7 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str], rank: str = "rank"
     # at most VALUES_PER_BIN rows per partition
     before_value = Window.partitionBy(*keys, "_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     inside = counts.withColumn("_before", F.coalesce(F.sum("_count").over(before_value), F.lit(0)))
-    joined = join_back(inside, bins, [*keys, "_bin"])
+    joined = join_back(inside, bins, [*keys, "_bin"], keys)
     return joined.select(
         *keys,
         value,
@@ -209,7 +196,7 @@ def add_normal_scores(
             df = _scored(ranked, out).drop("_rank")
         else:
             table = _scored(value_ranks(df, value, by, "_rank", "_n"), out)
-            df = join_back(df, table.drop("_n", "_rank"), [*by, value])
+            df = join_back(df, table.drop("_n", "_rank"), [*by, value], by)
     return df.drop("_n")
 
 
@@ -217,10 +204,10 @@ def _scored(ranked: DataFrame, out: str) -> DataFrame:
     return with_norm_ppf(ranked, {out: (F.col("_rank") - 0.5) / F.col("_n")})
 
 
-def join_back(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the non-key columns of ``table`` (unique on ``keys``) to every row.
-
-    Plain equality, so a partitioning by the keys is reused; a row without a group gets nulls.
-    """
-    return rows.join(table, list(keys), "left")
+def join_back(rows: DataFrame, table: DataFrame, keys: Sequence[str], nullable: Sequence[str] = ()) -> DataFrame:
+    """Add the non-key columns of ``table`` (unique on ``keys``) to every row; nulls meet in ``nullable`` keys."""
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    other = table.select(*[F.col(k).alias(n) for k, n in names.items()], *[c for c in table.columns if c not in names])
+    equal = [F.col(k).eqNullSafe(F.col(n)) if k in nullable else F.col(k) == F.col(n) for k, n in names.items()]
+    return rows.join(other, reduce(lambda a, b: a & b, equal), "left").drop(*names.values())
 

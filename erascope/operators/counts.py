@@ -17,6 +17,8 @@ from erascope import schema as S
 MAX_TUPLES = 500_000
 # Features per tile: a task holds levels * (levels * TILE) ** 2 longs, 40 MB at 200 and five levels.
 TILE = 200
+# Rows that a one-hot product is taken over at once, whatever the size of the Arrow batches.
+PIECE = 8192
 
 
 def checked(column: str, levels: int = S.FEATURE_LEVELS) -> Column:
@@ -26,6 +28,13 @@ def checked(column: str, levels: int = S.FEATURE_LEVELS) -> Column:
     return F.when(c.between(0, levels - 1), c.cast("tinyint")).otherwise(F.raise_error(message).cast("tinyint"))
 
 
+def checked_class(code: Column, levels: int = S.FEATURE_LEVELS) -> Column:
+    """Target class; null stays null (such rows take no part), one outside ``0 .. levels-1`` fails the job."""
+    message = F.concat(F.lit("target class out of range: "), code.cast("string"))
+    known = code.isNull() | code.between(0, levels - 1)
+    return F.when(known, F.when(known, code).cast("tinyint")).otherwise(F.raise_error(message).cast("tinyint"))
+
+
 def count_values(df: DataFrame, features: Sequence[str], levels: int = S.FEATURE_LEVELS) -> DataFrame:
     """A7. ``(f, x, n)``. Rows are unpivoted and combined map-side."""
     entries = [F.struct(F.lit(i).alias("f"), checked(c, levels).alias("x")) for i, c in enumerate(features)]
@@ -37,7 +46,7 @@ def count_with_target(
 ) -> DataFrame:
     """A8. ``(f, x, y, n)``; ``code`` is the target class, rows without one take no part."""
     entries = [F.struct(F.lit(i).alias("f"), checked(c, levels).alias("x")) for i, c in enumerate(features)]
-    rows = df.select(code.alias("y"), *features).where(F.col("y").isNotNull())
+    rows = df.select(checked_class(code, levels).alias("y"), *features).where(F.col("y").isNotNull())
     long = rows.select(F.inline(F.array(*entries)), "y")
     return long.groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("n"))
 
@@ -72,7 +81,8 @@ def count_pairs_with_target(
     """
     if method not in ("auto", "tuples", "tiles"):
         raise ValueError(f"unknown method {method!r}")
-    rows = df.select(code.cast("tinyint").alias("_y"), *dict.fromkeys(features)).where(F.col("_y").isNotNull())
+    rows = df.select(checked_class(code, levels).alias("_y"), *dict.fromkeys(features))
+    rows = rows.where(F.col("_y").isNotNull())
     if method == "auto":
         method = "tuples" if levels ** (len(features) + 1) <= MAX_TUPLES else "tiles"
     if method == "tuples":
@@ -112,7 +122,9 @@ def partial_tasks(spark: SparkSession) -> int:
 
 def _tiled(rows: DataFrame, features: list[str], levels: int, tile: int, max_tasks: int | None) -> DataFrame:
     tiles = [range(s, min(s + tile, len(features))) for s in range(0, len(features), tile)]
-    tasks = max_tasks or partial_tasks(rows.sparkSession)
+    pairs_of_tiles = len(tiles) * (len(tiles) + 1) // 2
+    # all pairs of tiles together emit about as many partial tables as there are tasks at once
+    tasks = max_tasks or max(1, partial_tasks(rows.sparkSession) // pairs_of_tiles)
     cells = [f"c{u}_{v}" for u in range(levels) for v in range(levels)]
     schema = "f1 int, f2 int, y tinyint, " + ", ".join(f"{c} bigint" for c in cells)
     partial = None
@@ -157,16 +169,13 @@ def _one_hot_counter(features: list[str], left: range, right: range, levels: int
                 columns.append(values)
             block = np.stack(columns, axis=1)
             hot = block[:, :, None] == np.arange(levels, dtype=block.dtype)
-            # float32 products are exact: a batch has far fewer than 2**24 rows
+            # float32 products are exact: a piece has far fewer than 2**24 rows
             return hot.reshape(len(block), -1).astype(np.float32)
 
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        pieces = (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE))
+        for batch in pieces:
             seen = True
             y = batch.column(batch.schema.get_field_index("_y")).to_numpy(zero_copy_only=False)
-            if y.min() < 0 or y.max() >= levels:
-                raise ValueError("target class out of range")
             a = one_hot(batch, first)
             b = a if same else one_hot(batch, second)
             for k in np.unique(y):

@@ -1,7 +1,6 @@
 """Per-era transforms (W1-W9). ``by=("era",)`` groups by era; ``by=()`` treats all rows as one group.
 
-Rows without an era keep a null result under the ``prefix`` plan and form their own group under
-``window``; panels are checked to have none.
+Rows without an era form a group of their own, whichever the plan; panels are checked to have none.
 """
 
 from __future__ import annotations

@@ -25,12 +25,14 @@ class LinearModel:
     intercepts: tuple[float, ...]
 
     def expression(self, target: int = 0, features: Sequence[str] | None = None) -> Column:
-        """Prediction as a Column: a plain sum of products."""
+        """Prediction as a Column: products of two arrays added up, so its depth does not grow with the features."""
         names = self.check(features)
-        value: Column = F.lit(self.intercepts[target])
-        for name, beta in zip(names, self.coefficients[target]):
-            value = value + F.col(name).cast("double") * F.lit(beta)
-        return value
+        if not names:
+            return F.lit(self.intercepts[target])
+        values = F.array(*[F.col(name).cast("double") for name in names])
+        weights = F.lit(np.array(self.coefficients[target], dtype=np.float64))
+        products = F.zip_with(values, weights, lambda x, b: x * b)
+        return F.aggregate(products, F.lit(float(self.intercepts[target])), lambda total, x: total + x)
 
     def check(self, features: Sequence[str] | None) -> Sequence[str]:
         names = self.features if features is None else list(features)

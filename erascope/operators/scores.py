@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from erascope.functions.numeric import NAN, nan_if_null, safe_div, signed_power,
 from erascope.functions.ranking import (
     HOT_GROUP_ROWS,
     add_group_stats,
+    join_back,
     per_group,
     profile_groups,
 )
@@ -61,6 +63,8 @@ def scoring_columns(
 ) -> DataFrame:
     """Rows with ``t`` (target), ``te`` (signed power of the centred target), ``p`` and ``m`` (normal scores).
 
+    With a meta model, ``raw_meta`` has its values as given (null as NaN).
+
     Several prediction columns are ensembled first. For one column the ensemble is a monotone map of its
     ranks, so ranking once gives the same scores.
     """
@@ -82,7 +86,7 @@ def scoring_columns(
     if meta:
         ranked["m"] = "_meta"
     rows = add_normal_scores(rows, ranked, by, how, small)
-    return rows.select(*by, *extra, "t", "te", "p", *(["m"] if meta else []))
+    return rows.select(*by, *extra, "t", "te", "p", *(["m", nan_if_null("_meta").alias("raw_meta")] if meta else []))
 
 
 def score_aggregates(metrics: Sequence[str]) -> dict[str, Column]:
@@ -246,10 +250,12 @@ def add_corr_vector(
     rows = add_group_stats(df, {"_size": F.count(F.lit(1)), "_mean": F.avg(t)}, by, how, small)
     rows = rows.withColumn("_power", signed_power(t - F.col("_mean")))
     rows = add_group_stats(rows, {"_spread": F.stddev_pop("_power")}, by, how, small)
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).select("_size").distinct()
-    scale = full_rank_spread(sizes, "_size", "_scale")
-    # one row per distinct group size
-    rows = rows.join(F.broadcast(scale) if small else scale, "_size", "left")
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_group_size"))
+    sizes = groups.select(F.col("_group_size").alias("_of")).distinct()
+    # the scale of a size goes to the groups first: rows are never joined on a size that many groups share
+    scale = groups.join(full_rank_spread(sizes, "_of", "_scale"), F.col("_group_size") == F.col("_of"))
+    scale = scale.select(*by, "_scale")
+    rows = join_back(rows, F.broadcast(scale) if small else scale, by, by)
     value = safe_div(F.col("_power"), F.col("_size") * F.col("_spread") * F.col("_scale"))
     return rows.withColumn(out, value).drop("_size", "_mean", "_power", "_spread", "_scale")
 
@@ -273,17 +279,20 @@ def add_mmc_vector(
 def full_rank_spread(sizes: DataFrame, size: str, out: str) -> DataFrame:
     """For each distinct ``n``: standard deviation of the signed power of the normal scores of ranks 1..n.
 
-    The scores are symmetric around zero, so this is the root of the mean of ``|score| ** 3``. Ranks are
-    generated in blocks that are spread over the cluster.
+    The scores are symmetric around zero, so this is the root of the mean of ``|score| ** 3``, and the lower
+    half of the ranks gives half of the sum. Ranks are generated in blocks that are spread over the cluster.
     """
+    half = F.ceil(F.col(size) / 2)
     blocks = sizes.select(
-        size, F.explode(F.sequence(F.lit(0), ((F.col(size) - 1) / RANGE_BLOCK).cast("long"))).alias("_block")
+        size, F.explode(F.sequence(F.lit(0), ((half - 1) / RANGE_BLOCK).cast("long"))).alias("_block")
     ).repartition(size, "_block")
     first = F.col("_block") * RANGE_BLOCK + 1
-    last = F.least(F.col(size), (F.col("_block") + 1) * RANGE_BLOCK)
+    last = F.least(half, (F.col("_block") + 1) * RANGE_BLOCK)
     ranks = blocks.select(size, F.explode(F.sequence(first, last)).alias("_rank"))
     scored = with_norm_ppf(ranks, {"_score": (F.col("_rank") - 0.5) / F.col(size)})
-    return scored.groupBy(size).agg(F.sqrt(F.avg(F.pow(F.abs("_score"), F.lit(3.0)))).alias(out))
+    # the middle rank of an odd size has score 0 and may count twice
+    total = F.sum(F.pow(F.abs("_score"), F.lit(3.0)))
+    return scored.groupBy(size).agg(F.sqrt(2.0 * total / F.col(size)).alias(out))
 
 
 def erawise(
@@ -299,7 +308,7 @@ def erawise(
 ) -> DataFrame:
     """U1. User score per era given as a Column aggregate of (target, preds, meta).
 
-    ``preds`` and ``meta`` arrive as normal scores. The aggregate is combined map-side, so eras of any
+    ``preds`` arrive as normal scores, ``meta`` as given. The aggregate is combined map-side, so eras of any
     size work. Returns ``era`` and one column named after the function.
     """
     columns = _as_list(preds)
@@ -308,7 +317,7 @@ def erawise(
 
     def build(group: DataFrame, how: str, small: bool) -> DataFrame:
         scored = scoring_columns(group, columns, target, meta_column, [era], how, small)
-        return scored.groupBy(era).agg(score(F.col("t"), F.col("p"), F.col("m")).alias(label))
+        return scored.groupBy(era).agg(score(F.col("t"), F.col("p"), F.col("raw_meta")).alias(label))
 
     return per_group(part.where(F.col(era).isNotNull()), [era], strategy, build, hot_rows)
 
@@ -321,20 +330,20 @@ def erawise_pandas(
     meta: str | None = "meta",
     era: str = "era",
     name: str | None = None,
-    max_era_rows: int = HOT_GROUP_ROWS,
+    max_era_rows: int | None = None,
 ) -> DataFrame:
-    """U1. User score per era given as a function of three numpy arrays.
+    """U1. User score per era given as a function of three numpy arrays, with the same values as in ``erawise``.
 
-    Such a function needs one era in one task, so the largest era is measured first; beyond
-    ``max_era_rows`` an error points to ``erawise``, which has no such bound.
+    Such a function needs one era in one task. Given ``max_era_rows``, the largest era is measured first, and
+    beyond it an error points to ``erawise``, which has no such bound.
     """
     columns = _as_list(preds)
     part, meta_column = _meta_or_nan(df, meta)
     part = part.where(F.col(era).isNotNull())
-    profile = profile_groups(part, [era], max_era_rows)
-    if profile.largest > max_era_rows:
+    largest = profile_groups(part, [era], max_era_rows).largest if max_era_rows is not None else 0
+    if max_era_rows is not None and largest > max_era_rows:
         raise ValueError(
-            f"the largest era has {profile.largest} rows, above max_era_rows={max_era_rows}; "
+            f"the largest era has {largest} rows, above max_era_rows={max_era_rows}; "
             "express the score as a Column aggregate and use erawise()"
         )
     names = [f"_pred_{i}" for i in range(len(columns))]
@@ -363,6 +372,28 @@ def erawise_pandas(
     return scored.select(F.col("era").alias(era), F.col("score").alias(label))
 
 
+@dataclass(frozen=True)
+class UserScore:
+    """U1. A user metric: a score per era and the aggregate over eras (A14 unless given).
+
+    ``score`` takes Columns of (target, preds, meta) and is an aggregate, or numpy arrays if ``arrays`` is set.
+    """
+
+    score: Callable
+    over_eras: Callable[[str], Column] = mean_score
+    arrays: bool = False
+
+    @property
+    def __name__(self) -> str:
+        return function_name(self.score)
+
+    def value(self, df: DataFrame, preds, target: str = "target", meta: str | None = "meta", era: str = "era", strategy: str = "auto") -> DataFrame:
+        """One row with the column ``value``."""
+        options = {"name": "score"} if self.arrays else {"name": "score", "strategy": strategy}
+        per_era = (erawise_pandas if self.arrays else erawise)(df, self.score, preds, target, meta, era, **options)
+        return per_era.agg(self.over_eras("score").alias("value"))
+
+
 def function_name(fn: Callable) -> str:
     """Metric name of a callable; partials are unwrapped."""
     while isinstance(fn, partial):

@@ -35,7 +35,7 @@ def rank_features(
     path = scratch_path(spark, "pair-information")
     pair_information(counts).write.parquet(path)
     pairs = spark.read.parquet(path)
-    return named_order(greedy_order(pairs, criteria, top_k, len(names)), names)
+    return named_order(greedy_order(pairs, criteria, top_k), names)
 
 
 def rank_and_store(panel: DataFrame, data_dir: str, **options) -> DataFrame:

@@ -18,7 +18,7 @@ from erascope import schema as S
 from erascope.errors import NotTrained
 from erascope.operators.linear import LeastSquares, LinearModel, require_trained
 from erascope.operators.projection import project_panel, resolve_features, resolve_targets, subsample
-from erascope.operators.scores import METRICS, era_scores, erawise, function_name, mean_score, score_summary
+from erascope.operators.scores import METRICS, UserScore, era_scores, score_summary
 from erascope.sources.files import exists
 from erascope.sources.runs import RunStore, split_metric
 from erascope.splits import Splits
@@ -113,10 +113,11 @@ class Module:
     """A model with its metrics: fit, guarded predict, evaluate, save and load.
 
     ``estimator`` has ``fit(df)`` and its model ``transform(df)``, adding ``prediction``. ``metrics`` are
-    names of built-in scores or functions of Column aggregates as taken by ``erawise``.
+    names of built-in scores, functions of Column aggregates as taken by ``erawise``, or ``UserScore``, which
+    also takes functions of arrays and the aggregate over eras.
     """
 
-    def __init__(self, estimator=None, metrics: Sequence[str | Callable] = METRICS, strategy: str = "auto"):
+    def __init__(self, estimator=None, metrics: Sequence[str | Callable | UserScore] = METRICS, strategy: str = "auto"):
         self.estimator, self.metrics, self.strategy = estimator, tuple(metrics), strategy
         self.model = None
 
@@ -152,7 +153,7 @@ class Module:
             model.write().overwrite().save(f"{path}/mllib")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, metrics: Sequence[str | Callable] = METRICS) -> Module:
+    def load(cls, spark: SparkSession, path: str, metrics: Sequence[str | Callable | UserScore] = METRICS) -> Module:
         module = cls(None, metrics)
         if exists(spark, f"{path}/linear"):
             module.model = LinearModel.load(spark, f"{path}/linear")
@@ -166,7 +167,7 @@ def evaluate_predictions(
     split: str,
     target: str = "target",
     meta: str | None = "meta",
-    metrics: Sequence[str | Callable] = METRICS,
+    metrics: Sequence[str | Callable | UserScore] = METRICS,
     preds: str | Sequence[str] = PREDICTION,
     strategy: str = "auto",
 ) -> DataFrame:
@@ -179,14 +180,10 @@ def evaluate_predictions(
         entries = [F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names]
         parts.append(summary.select(F.lit(split).alias("split"), F.inline(F.array(*entries))))
     for fn in metrics:
-        if callable(fn):
-            label = function_name(fn)
-            per_era = erawise(scored, fn, preds, target, meta, strategy=strategy)
-            parts.append(
-                per_era.agg(mean_score(label).alias("value")).select(
-                    F.lit(split).alias("split"), F.lit(label).alias("metric"), "value"
-                )
-            )
+        if not isinstance(fn, str):
+            user = fn if isinstance(fn, UserScore) else UserScore(fn)
+            value = user.value(scored, preds, target, meta, strategy=strategy)
+            parts.append(value.select(F.lit(split).alias("split"), F.lit(user.__name__).alias("metric"), "value"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -264,6 +261,6 @@ def train(data: PanelData, module: Module, trainer: Trainer, monitor: str = "pay
     return TrainOutput(scores.get(VALIDATION), scores.get(TEST), record, module)
 
 
-def least_squares_module(data: PanelData, metrics: Sequence[str | Callable] = METRICS, **options) -> Module:
+def least_squares_module(data: PanelData, metrics: Sequence[str | Callable | UserScore] = METRICS, **options) -> Module:
     """The linear preset for a data set (first training target)."""
     return Module(LeastSquares(tuple(data.feature_names), tuple(data.target_names[:1]), **options), metrics)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from erascope import schema as S
-from erascope.operators.counts import count_pairs_with_target, pair_entries
+from erascope.operators.counts import checked_class, count_pairs_with_target, pair_entries
 
 COUNT_COLUMNS = ("f1", "f2", "u", "v", "y", "n")
 
@@ -21,7 +21,7 @@ def pair_count_stream(
 
     The state is one row per cell, so this form suits short feature lists.
     """
-    rows = stream.select(code.cast("tinyint").alias("y"), *features).where(F.col("y").isNotNull())
+    rows = stream.select(checked_class(code, levels).alias("y"), *features).where(F.col("y").isNotNull())
     pairs = rows.select(F.inline(pair_entries(features, levels)), "y")
     return pairs.groupBy("f1", "f2", "u", "v", "y").agg(F.count(F.lit(1)).alias("n"))
 

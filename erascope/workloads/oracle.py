@@ -121,8 +121,8 @@ def score_ctes(source: str, preds: str = "preds_0", meta: str = "meta", by: str
     return [
         f"""shares{tag} AS (SELECT {key}, CAST({target} AS DOUBLE) AS t,
           CAST({target} AS DOUBLE) - avg(CAST({target} AS DOUBLE)) OVER ({part}) AS c,
-          {share(preds, by)} AS ps, {share(meta, by)} AS ms FROM {source} WHERE {where})""",
-        f"""normals{tag} AS (SELECT era, t, {power('c')} AS te, {ppf('ps')} AS p, {ppf('ms')} AS m
+          {share(preds, by)} AS ps, {share(meta, by)} AS ms, CAST({meta} AS DOUBLE) AS raw FROM {source} WHERE {where})""",
+        f"""normals{tag} AS (SELECT era, t, {power('c')} AS te, {ppf('ps')} AS p, {ppf('ms')} AS m, raw
           FROM shares{tag})""",
         f"""parts{tag} AS (SELECT era, count(*) AS n,
           covar_pop(te, {power('p')}) / (stddev_pop(te) * stddev_pop({power('p')})) AS corr,
@@ -300,7 +300,7 @@ def build() -> dict[str, str]:
 
     # sources and sinks
     sql["s1_panel_scan"] = query(
-        PANEL, select=f"SELECT id, era, target, {feats} FROM panel WHERE era >= 5 AND era < 20"
+        PANEL, select=f"SELECT id, era, target, {feats} FROM panel"
     )
     sql["s2_raw_scan"] = query(
         PANEL, RAW,
@@ -608,7 +608,7 @@ def build() -> dict[str, str]:
         select=" UNION ALL ".join(f"SELECT '{m}' AS method, pos, f FROM {m.lower()}_picks" for m in methods),
     )
     sql["f9_greedy_steps"] = query(
-        *event_info, *greedy_ctes("DMIM", 3), select="SELECT 'DMIM' AS method, pos, f FROM dmim_picks"
+        *event_info, *greedy_ctes("DMIM", five), select="SELECT 'DMIM' AS method, pos, f FROM dmim_picks"
     )
     sql["f10_feature_ranking"] = query(
         *train_info, *all_greedy,
@@ -696,7 +696,12 @@ def build() -> dict[str, str]:
     sql["r4_streaming_payoff"] = query(*scores, select=f"SELECT era, {r6('payoff')} AS payoff FROM scores")
     sql["r5_streaming_annual_return"] = query(*scores, select=f"SELECT {r6(ANNUAL, 4)} AS annual_return FROM scores")
     sql["r6_metric_bundle"] = query(
-        *both_splits, select=metric_rows("val", "_val") + " UNION ALL " + metric_rows("test", "_test")
+        *both_splits,
+        select=" UNION ALL ".join(
+            metric_rows(split, f"_{split}")
+            + f" UNION ALL SELECT '{split}', 'annual_return', {r6(ANNUAL)} FROM scores_{split}"
+            for split in ("val", "test")
+        ),
     )
 
     # user functions
@@ -704,6 +709,12 @@ def build() -> dict[str, str]:
     plain = [*scores[:3]]
     sql["u1_user_score"] = query(*plain, select=f"SELECT era, {r6(pearson)} AS pearson FROM normals GROUP BY era")
     sql["u1_user_score_arrays"] = sql["u1_user_score"]
+    sql["u1_user_score_meta"] = query(*plain, select=f"SELECT era, {r6('avg(raw * p) + avg(t)')} AS shared FROM normals GROUP BY era")
+    sql["u1_user_score_meta_arrays"] = sql["u1_user_score_meta"]
+    sql["u1_user_score_compounded"] = query(
+        *plain, f"per_era AS (SELECT {pearson} AS payoff FROM normals GROUP BY era)",
+        select=f"SELECT {r6(f'ln(1 + ({ANNUAL}))')} AS log_return FROM per_era",
+    )
     weights = " + ".join(f"{i + 1} * {c}" for i, c in enumerate(EVENT_FEATURES))
     sql["u2_user_model"] = query(PANEL, select=f"SELECT id, CAST({weights} AS DOUBLE) AS prediction FROM panel")
     sql["u3_user_strategy"] = query(

@@ -129,8 +129,9 @@ def panel_digest(df: DataFrame) -> DataFrame:
 
 @query
 def s1_panel_scan(spark, sf_dir):
-    panel = event_panel(spark, sf_dir).where(EraRange(5, 20).contains())
-    return panel.select("id", "era", "target", *EVENT_FEATURES)
+    path = scratch_path(spark, "panel")
+    S.write_panel(event_panel(spark, sf_dir).select("id", "era", "target", *EVENT_FEATURES), path)
+    return S.scan_panel(spark, path)
 
 
 @query
@@ -741,7 +742,7 @@ def f3_cmi_of_pairs(spark, sf_dir):
 
 
 def one_order(spark, sf_dir, method: str) -> DataFrame:
-    order = greedy_order(pair_information(event_pairs(spark, sf_dir)), [method], n_features=len(EVENT_FEATURES))
+    order = greedy_order(pair_information(event_pairs(spark, sf_dir)), [method])
     return order.select("pos", "f", rounded("objective", 9).alias("objective"))
 
 
@@ -772,14 +773,14 @@ def f8_order_dmim(spark, sf_dir):
 
 @query
 def f9_greedy_orders(spark, sf_dir):
-    order = greedy_order(pair_information(event_pairs(spark, sf_dir)), n_features=len(EVENT_FEATURES))
+    order = greedy_order(pair_information(event_pairs(spark, sf_dir)))
     return order.select("method", "pos", "f")
 
 
 @query
 def f9_greedy_steps(spark, sf_dir):
     pairs = pair_information(event_pairs(spark, sf_dir)).checkpoint()
-    return greedy_order_steps(pairs, "DMIM", top_k=3).select("method", "pos", "f")
+    return greedy_order_steps(pairs, "DMIM", top_k=len(EVENT_FEATURES)).select("method", "pos", "f")
 
 
 @query
@@ -1017,7 +1018,7 @@ def t2_argmax(spark, sf_dir):
 
 @query
 def t3_order_to_list(spark, sf_dir):
-    order = greedy_order(pair_information(event_pairs(spark, sf_dir)), n_features=len(EVENT_FEATURES))
+    order = greedy_order(pair_information(event_pairs(spark, sf_dir)))
     named = named_order(order, EVENT_FEATURES)
     listed = F.array_sort(F.collect_list(F.struct("pos", "feature"))).getField("feature")
     return named.groupBy("method").agg(F.array_join(listed, ",").alias("features"))
@@ -1108,7 +1109,7 @@ def r6_metric_bundle(spark, sf_dir):
         streamed_scores(spark, sf_dir, eras=eras, split=split)
         for split, eras in (("val", SPLITS.validation), ("test", SPLITS.test))
     ]
-    return metric_table(metric_bundle(spark, streams)).where(F.col("metric") != "annual_return")
+    return metric_table(metric_bundle(spark, streams))
 
 
 # ---- user functions
@@ -1124,6 +1125,30 @@ def u1_user_score(spark, sf_dir):
     return per_era.select("era", rounded("pearson").alias("pearson"))
 
 
+@query
+def u1_user_score_meta(spark, sf_dir):
+    def shared(t, p, m):
+        return F.avg(m * p) + F.avg(t)
+
+    per_era = M.erawise(event_panel(spark, sf_dir), shared, "preds_0")
+    return per_era.select("era", rounded("shared").alias("shared"))
+
+
+@query
+def u1_user_score_meta_arrays(spark, sf_dir):
+    def shared(t, p, m):
+        return (m * p).mean() + t.mean()
+
+    per_era = M.erawise_pandas(event_panel(spark, sf_dir), shared, "preds_0")
+    return per_era.select("era", rounded("shared").alias("shared"))
+
+
+@query
+def u1_user_score_compounded(spark, sf_dir):
+    score = M.UserScore(pearson, M.annualized_return)
+    return score.value(event_panel(spark, sf_dir), "preds_0").select(F.round(F.log1p("value"), 6).alias("log_return"))
+
+
 @query
 def u1_user_score_arrays(spark, sf_dir):
     def pearson_arrays(t, p, m):

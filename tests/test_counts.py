@@ -122,18 +122,37 @@ def test_greedy_orders_against_brute_force(spark):
         greedy_order(pairs, ["XYZ"])
 
 
-def test_long_lists_take_the_stepwise_form(spark, monkeypatch, panel):
-    from erascope.operators import ordering
-
+def test_both_greedy_forms_agree(spark, panel):
     x, y, df = panel
     pairs = pair_information(count_pairs_with_target(df, NAMES, target_code("target"))).cache()
     dense = greedy_order(pairs, ["DMIM"]).orderBy("pos").toPandas()
-    monkeypatch.setattr(ordering, "MAX_DENSE_FEATURES", 2)
-    steps = greedy_order(pairs, ["DMIM"]).orderBy("pos").toPandas()
+    steps = greedy_order_steps(pairs, "DMIM").orderBy("pos").toPandas()
     assert dense["f"].tolist() == steps["f"].tolist()
     assert np.allclose(dense["objective"], steps["objective"])
 
 
+@pytest.mark.parametrize("method", ["tuples", "tiles"])
+def test_class_out_of_range_fails_in_every_form(spark, method):
+    df = spark.createDataFrame([(1, 2, 2.0), (0, 1, 0.5), (0, 1, None)], "a int, b int, target double")
+    code = target_code("target")
+    with pytest.raises(Exception, match="target class out of range"):
+        count_pairs_with_target(df, ["a", "b"], code, method=method).collect()
+    with pytest.raises(Exception, match="target class out of range"):
+        count_with_target(df, ["a", "b"], code).collect()
+    good = df.where("target IS NULL OR target < 1")
+    assert sum(r["n"] for r in count_pairs_with_target(good, ["a", "b"], code, method=method).collect()) == 3
+
+
+def test_tiles_do_not_depend_on_batches(spark, panel, monkeypatch):
+    from erascope.operators import counts
+
+    _, _, df = panel
+    want = sorted(map(tuple, count_pairs_with_target(df, NAMES, target_code("target"), method="tuples").collect()))
+    monkeypatch.setattr(counts, "PIECE", 3)
+    got = count_pairs_with_target(df, NAMES, target_code("target"), method="tiles", tile=2)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_ranking_job(panel):
     _, _, df = panel
     order = feature_ranking.rank_features(df, NAMES, era_1=2).toPandas()

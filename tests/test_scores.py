@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from erascope.operators import eras as E
 from erascope.operators import scores as M
+from erascope.plans.training import evaluate_predictions
 
 SEEDS = 100
 
@@ -175,6 +176,41 @@ def test_user_scores(spark):
         M.erawise_pandas(df, spread_arrays, "preds", max_era_rows=3)
 
 
+def test_user_scores_get_the_meta_model_as_given(spark):
+    df = spark.createDataFrame(arrays(9)).withColumn("meta", F.col("meta") * 3.0 + 1.0)
+    a = M.erawise(df, lambda t, p, m: F.avg(m), "preds", name="s").orderBy("era").toPandas()
+    b = M.erawise_pandas(df, lambda t, p, m: m.mean(), "preds", name="s").orderBy("era").toPandas()
+    want = df.groupBy("era").agg(F.avg("meta").alias("s")).orderBy("era").toPandas()
+    assert np.allclose(a["s"], want["s"]) and np.allclose(b["s"], want["s"])
+
+
+def test_user_score_with_its_own_aggregate(spark):
+    df = spark.createDataFrame(arrays(9)).withColumn("prediction", F.col("preds"))
+    columns, both = M.UserScore(lambda t, p, m: F.avg(p * t), F.max), M.UserScore(lambda t, p, m: (p * t).mean(), F.max, arrays=True)
+    per_era = M.erawise(df, lambda t, p, m: F.avg(p * t), "preds", name="s").toPandas()["s"]
+    for user in (columns, both):
+        got = evaluate_predictions(df, "val", metrics=["corr", user]).toPandas().set_index("metric")["value"]
+        assert abs(got["<lambda>"] - per_era.max()) < 1e-12
+
+
+@pytest.mark.parametrize("hot", [1, 2, 3, 4])
+def test_rows_without_a_group_rank_alike_in_every_plan(spark, hot):
+    rows = [(None, 1.0), (None, 3.0), (None, 2.0), (1, 5.0), (1, 5.0), (2, None)]
+    df = spark.createDataFrame(rows, "era int, v double")
+    want = sorted(map(tuple, E.average_rank(df, {"r": "v"}, strategy="window").select("era", "v", "r").collect()), key=repr)
+    for options in ({"strategy": "prefix"}, {"hot_rows": hot}):
+        got = E.average_rank(df, {"r": "v"}, **options).select("era", "v", "r").collect()
+        assert sorted(map(tuple, got), key=repr) == want
+        for fn in (E.center, E.gaussianize, E.standardize):
+            a = sorted(map(tuple, fn(df, {"r": "v"}, **options).select("era", "v", F.round("r", 9)).collect()), key=repr)
+            b = sorted(map(tuple, fn(df, {"r": "v"}, strategy="window").select("era", "v", F.round("r", 9)).collect()), key=repr)
+            assert repr(a) == repr(b)
+    weighted = M.corr_vector(df.withColumn("target", F.col("v")), strategy="prefix")
+    again = M.corr_vector(df.withColumn("target", F.col("v")), strategy="window")
+    key = lambda rows: sorted((r["era"] or 0, r["v"] or 0, repr(round(r["corr_vector"], 9))) for r in rows)
+    assert key(weighted.collect()) == key(again.collect())
+
+
 def test_monotone_transform_keeps_corr(spark):
     df = spark.createDataFrame(arrays(12)).withColumn("moved", F.exp(F.col("preds") * 2.0))
     a, b = (M.corr(df, c).first()[0] for c in ("preds", "moved"))
