@@ -14,6 +14,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 END = "</w>"
 # The file's own rule for cutting a text into words (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SLICE = 1 << 22  # letters of text whose words share a trie
-REMEMBERED = 200_000  # runs kept between slices; pure speed, results do not depend on it
+SLICE = 1 << 20  # letters of text whose words share a trie
+REMEMBERED = 120_000  # runs kept between slices; pure speed, results do not depend on it
 
 
 def byte_letters() -> list[str]:
@@ -47,10 +48,6 @@ def read_vocabulary(path: str) -> dict:
     }
 
 
-def _joined(words: list[tuple[int, str, str]]) -> tuple[int, str, str]:
-    return words[0] if len(words) == 1 else (sum(w[0] for w in words), " ".join(w[1] for w in words), " ".join(w[2] for w in words))
-
-
 class Encoder:
     """Encodes words by walking their trie; remembers what it has encoded."""
 
@@ -70,7 +67,9 @@ class Encoder:
             ends[letters] = token
         self.letters = str.maketrans({b: c for b, c in enumerate(byte_letters())})
         self.may_follow: dict[tuple[str, str], bool] = {}
-        self.runs = {name: (1, str(number), name) for name, number in self.special.items()}
+        self.names = [self.token_of.get(i, "") for i in range(max(self.token_of) + 1)]
+        self.numbers = [str(i) for i in range(len(self.names))]
+        self.runs: dict[str, tuple[int, ...]] = {name: (number,) for name, number in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -91,7 +90,7 @@ class Encoder:
         key = (before, token)
         known = self.may_follow.get(key)
         if known is None:
-            if len(self.may_follow) > 1_000_000:
+            if len(self.may_follow) > 200_000:
                 self.may_follow.clear()
             want = [before, token] if before else [token]
             known = self.may_follow[key] = self.merged([*self.symbols(before), *self.symbols(token)] if before else self.symbols(token)) == want
@@ -118,8 +117,8 @@ class Encoder:
                 return key[1]
         raise ValueError(f"the vocabulary lacks the letter {path[depth - 1 : depth]!r}")
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, str, str]]:
-        """Of each distinct word: number of tokens, ids and token texts, both joined by spaces."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
+        """Token ids of each distinct word."""
         found = {}
         rows = sorted((w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters), w) for w in words)
         tokens, last = [""], ""  # tokens[d]: last token of the first d letters of the path to the current node
@@ -138,7 +137,7 @@ class Encoder:
                 parts.append(tokens[at])
                 at -= len(tokens[at])
             parts.reverse()
-            found[word] = (len(parts), " ".join(str(self.ids[p]) for p in parts), " ".join(parts))
+            found[word] = tuple([self.ids[p] for p in parts])
             last = path
         return found
 
@@ -155,16 +154,15 @@ class Encoder:
         # lower case letter by letter: the final sigma has no form of its own here
         return WORDS.findall(unicodedata.normalize("NFC", run).replace("Σ", "σ").lower())
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, str]]]:
-        """The encoded runs of each text, those without tokens left out."""
+    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Token ids of each text."""
         split = [self.split(t) for t in texts]
         cut = {run: self.words_of(run) for run in {r for runs in split for r in runs} - self.runs.keys()}
         words = self.encode_words({w for ws in cut.values() for w in ws})
-        fresh = {run: _joined([words[w] for w in ws]) for run, ws in cut.items()}
+        fresh = {run: words[ws[0]] if len(ws) == 1 else tuple([i for w in ws for i in words[w]]) for run, ws in cut.items()}
         known = self.runs
         for runs in split:
-            found = [known[r] if r in known else fresh[r] for r in runs]
-            yield [f for f in found if f[0]]
+            yield list(chain.from_iterable([known[r] if r in known else fresh[r] for r in runs]))
         for run, value in fresh.items():
             if len(known) >= REMEMBERED:
                 break
@@ -172,7 +170,7 @@ class Encoder:
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token texts joined by one space, as a tokenizer without a decoder does; unknown ids are left out."""
-        return " ".join(self.token_of[i] for i in ids if i in self.token_of)
+        return " ".join([self.names[i] for i in ids if 0 <= i < len(self.names)])
 
 
 def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -201,10 +199,9 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> Column:
         for texts in batches:
             rows = []
             for part in _slices(list(texts)):
-                for words in encoder.encode(part):
-                    ids = " ".join(w[1] for w in words)
-                    row = [sum(w[0] for w in words), _digest(ids), _digest(" ".join(w[2] for w in words))]
-                    rows.append([*row, np.fromstring(ids, np.int32, sep=" ")] if keep_ids else row)
+                for ids in encoder.encode(part):
+                    row = [len(ids), _digest(" ".join([encoder.numbers[i] for i in ids])), _digest(encoder.decode(ids))]
+                    rows.append([*row, np.array(ids, np.int32)] if keep_ids else row)
             yield pd.DataFrame(rows, columns=[f.name for f in fields])
 
     return encode.asNondeterministic()("text")

@@ -78,7 +78,7 @@ def test_odd_vectors(spark):
 
 
 def encoded(texts):
-    return [" ".join(w[1] for w in words) for words in ENCODER.encode(texts)]
+    return [" ".join(map(str, ids)) for ids in ENCODER.encode(texts)]
 
 
 def by_library(texts):
