@@ -26,8 +26,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 END = "</w>"
 # The file's own rule for cutting a text into words (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-SLICE = 1 << 20  # letters of text whose words share a trie
-REMEMBERED = 120_000  # runs kept between slices; pure speed, results do not depend on it
+SLICE = 2 << 20  # letters of text whose words share a trie
+REMEMBERED = 150_000  # runs kept between slices; pure speed, results do not depend on it
 
 
 def byte_letters() -> list[str]:
