@@ -18,6 +18,7 @@ from erascope.splits import EMBARGO, EraRange, walk_forward
 
 ATTRIBUTION_PREFIX = "attr_"
 P_THRESHOLD = 0.05
+REFRESH = 64  # drops after which the inverse is computed anew, against rounding
 
 
 class SelectionStrategy(ABC):
@@ -51,7 +52,12 @@ class InformationStrategy(SelectionStrategy):
 
 
 class AttributionStrategy(SelectionStrategy):
-    """F12 + F13. Fit on the early part of the range, attribute on its last eras, eliminate by t-values."""
+    """F12 + F13. Fit on the early part of the range, attribute on its last eras, eliminate by t-values.
+
+    ``attribute(train, validation, features)`` may give other attributions than those of least squares: a frame
+    with the target and one ``attr_<feature>`` column per feature, e.g. from a tree model or columns that the
+    validation rows already have. ``starting_features`` narrows the list before anything is fitted.
+    """
 
     def __init__(
         self,
@@ -60,14 +66,22 @@ class AttributionStrategy(SelectionStrategy):
         embargo: int = EMBARGO,
         target: str = "target",
         threshold: float = P_THRESHOLD,
+        attribute: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame] | None = None,
+        starting_features: Sequence[str] | None = None,
     ):
         self.train, self.validation = walk_forward(outer, n_validation, embargo)
         self.target, self.threshold = target, threshold
+        self.attribute = attribute or self.linear
+        self.starting = None if starting_features is None else set(starting_features)
+
+    def linear(self, train: DataFrame, validation: DataFrame, features: Sequence[str]) -> DataFrame:
+        """Attributions of a least-squares model of the training rows."""
+        return linear_attributions(validation, fit_ols(train, features, [self.target]), [self.target])
 
     def report(self, panel: DataFrame, features: Sequence[str]) -> DataFrame:
-        model = fit_ols(panel.where(self.train.contains(S.ERA)), features, [self.target])
-        attributed = linear_attributions(panel.where(self.validation.contains(S.ERA)), model, [self.target])
-        return eliminate(attributed, features, self.target, self.threshold)
+        names = [c for c in features if self.starting is None or c in self.starting]
+        train, validation = (panel.where(r.contains(S.ERA)) for r in (self.train, self.validation))
+        return eliminate(self.attribute(train, validation, names), names, self.target, self.threshold)
 
     def select(self, panel: DataFrame, features: Sequence[str]) -> DataFrame:
         return selected_only(self.report(panel, features))
@@ -129,16 +143,27 @@ def eliminate_on_products(matrix: np.ndarray, features: Sequence[str], threshold
     results: dict[int, tuple] = {
         k: (0.0, math.nan, math.nan, False, 0) for k in range(1, last) if matrix[k, k] <= 0
     }
-    step = 0
+    step, inverse = 0, None
+    scale = np.sqrt(np.maximum(np.diag(matrix), 0.0))
     while alive:
-        beta, t, p = _fit_on_products(matrix, alive, last, n)
+        if step % REFRESH == 0:
+            inverse = _scaled_inverse(matrix, alive, scale)
+        size = scale[alive]
+        beta = inverse @ (matrix[alive, last] / size) / size
+        freedom = n - len(alive)
+        residual = max(matrix[last, last] - float(beta @ matrix[alive, last]), 0.0)
+        t = beta * size / np.sqrt(residual / freedom * np.diag(inverse))
         worst = int(np.argmin(t))
         if t[worst] >= 0:
-            for k, b, tv, pv in zip(alive, beta, t, p):
-                results[k] = (float(b), float(tv), float(pv), bool(b > 0 and pv < threshold), None)
+            for k, b, tv in zip(alive, beta, t, strict=True):
+                pv = student_two_sided(float(tv), freedom)
+                results[k] = (float(b), float(tv), pv, bool(b > 0 and pv < threshold), None)
             break
         step += 1
-        results[alive[worst]] = (float(beta[worst]), float(t[worst]), float(p[worst]), False, step)
+        results[alive[worst]] = (float(beta[worst]), float(t[worst]), student_two_sided(float(t[worst]), freedom), False, step)
+        # the inverse without a row and column, by one outer product
+        column = np.delete(inverse[:, worst], worst)
+        inverse = np.delete(np.delete(inverse, worst, 0), worst, 1) - np.outer(column, column) / inverse[worst, worst]
         alive.pop(worst)
     return [(k - 1, features[k - 1], *results[k]) for k in range(1, last)]
 
@@ -148,38 +173,38 @@ def selected_only(report: DataFrame) -> DataFrame:
     return report.where("selected").select("pos", "feature")
 
 
-def _fit_on_products(matrix: np.ndarray, alive: list[int], last: int, n: float):
-    a = matrix[np.ix_(alive, alive)]
-    b = matrix[alive, last]
-    beta = solve(a, b[:, None])[:, 0]
-    freedom = n - len(alive)
-    residual = max(matrix[last, last] - float(beta @ b), 0.0)
-    scale = np.sqrt(np.diag(a))
-    inverse = np.linalg.inv(a / np.outer(scale, scale))
-    errors = np.sqrt(residual / freedom * np.diag(inverse)) / scale
-    t = beta / errors
-    return beta, t, [student_two_sided(v, freedom) for v in t]
+def _scaled_inverse(matrix: np.ndarray, alive: list[int], scale: np.ndarray) -> np.ndarray:
+    """Inverse of the products of the columns left, each scaled to length one; a singular system is an error."""
+    scaled = matrix[np.ix_(alive, alive)] / np.outer(scale[alive], scale[alive])
+    return solve(scaled, np.eye(len(alive)))
 
 
 def student_two_sided(t: float, freedom: float) -> float:
-    """Two-sided p-value of Student's t."""
-    return _incomplete_beta(freedom / 2.0, 0.5, freedom / (freedom + t * t))
-
-
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta function by its continued fraction."""
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
+    """Two-sided p-value of Student's t, by the regularized incomplete beta function of ``freedom / (freedom + t * t)``."""
+    t, freedom = float(t), float(freedom)
+    if math.isnan(t) or freedom <= 0:
+        return math.nan
+    square = t * t
+    if square == 0.0:
         return 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+    if math.isinf(square):
+        return 0.0
+    a, b = freedom / 2.0, 0.5
+    x, rest = freedom / (freedom + square), square / (freedom + square)
+    front = math.exp(_log_gamma_step(a) - 0.5 * math.log(math.pi) - a * math.log1p(square / freedom) + b * math.log(rest))
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+        return 1.0 - front * _beta_fraction(b, a, rest) / b
     return front * _beta_fraction(a, b, x) / a
 
 
+def _log_gamma_step(a: float) -> float:
+    """``lgamma(a + 1/2) - lgamma(a)``; for large ``a`` by its series, as the difference would cancel."""
+    if a < 50.0:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    series = -1 / (8 * a) + 1 / (192 * a**3) - 1 / (640 * a**5)
+    return 0.5 * math.log(a) + series
+
+
 def _beta_fraction(a: float, b: float, x: float, tolerance: float = 1e-15, steps: int = 10_000) -> float:
     tiny = 1e-300
     c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0) or tiny)

@@ -29,6 +29,11 @@ def get_session(master: str | None = None, app: str = "erascope", **conf: str) -
     return builder.getOrCreate()
 
 
+def on_one_machine(master: str) -> bool:
+    """``local`` and ``local[...]``; ``local-cluster`` has executors of its own."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named in ``spark.checkpoint.dir``.
 
@@ -38,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        if not configured and not context.master.startswith("local"):
+        if not configured and not on_one_machine(context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="erascope-"))
     return (configured or context.getCheckpointDir()).rstrip("/")

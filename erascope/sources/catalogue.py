@@ -11,11 +11,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from erascope.sources.files import exists
+from erascope.sources.files import child_names, exists
 
 SETS_SCHEMA = "feature_sets map<string, array<string>>"
 FEATURES_FILE = "features.json"
 EXTRA_FILE = "extra_feature_sets.json"
+VERSION_PREFIX = "version-"
 ERAS_FILE = "eras.json"
 ERAS_SCHEMA = "train int, benchmark int, validation int, metamodel int, test int, live int"
 
@@ -23,8 +24,8 @@ ERAS_SCHEMA = "train int, benchmark int, validation int, metamodel int, test int
 def read_feature_sets(spark: SparkSession, data_dir: str) -> DataFrame:
     """S4. ``(set_name, pos, feature)``; the extra file, if present, overrides sets of the same name."""
     base = _entries(spark, f"{data_dir}/{FEATURES_FILE}", 0)
-    extra_path = f"{data_dir}/{EXTRA_FILE}"
-    if exists(spark, extra_path):
+    extra_path = _newest(spark, f"{data_dir}/{EXTRA_FILE}")
+    if extra_path:
         base = base.unionByName(_extra_entries(spark, extra_path, 1))
     return (
         base.groupBy("set_name")
@@ -51,7 +52,8 @@ def write_feature_sets(spark: SparkSession, data_dir: str, sets: Mapping[str, Se
 def merge_feature_sets(order: DataFrame, data_dir: str) -> None:
     """S5. Add one set per method to the extra catalogue; the key is the lower-case method name.
 
-    ``order`` has ``(method, pos, feature)``. Sets already stored under other names are kept.
+    ``order`` has ``(method, pos, feature)``. Sets already stored under other names are kept. The merged sets
+    are a new version next to the old ones, which readers see once it is complete, so a failure loses nothing.
     """
     spark = order.sparkSession
     path = f"{data_dir}/{EXTRA_FILE}"
@@ -59,12 +61,30 @@ def merge_feature_sets(order: DataFrame, data_dir: str) -> None:
         F.array_sort(F.collect_list(F.struct("pos", "feature"))).getField("feature").alias("features")
     )
     merged = {r["set_name"]: r["features"] for r in new.collect()}
-    if exists(spark, path):
-        for row in _extra_entries(spark, path, 0).collect():
+    stored = _newest(spark, path)
+    if stored:
+        for row in _extra_entries(spark, stored, 0).collect():
             merged.setdefault(row["set_name"], row["features"])
     text = F.to_json(F.col("sets"))
     frame = spark.createDataFrame([(merged,)], "sets map<string, array<string>>")
-    frame.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    number = max(_complete(spark, path), default=0) + 1
+    frame.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{VERSION_PREFIX}{number:06d}")
+
+
+def _complete(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions whose write has ended."""
+    names = child_names(spark, path) if exists(spark, path) else []
+    numbers = [int(n.removeprefix(VERSION_PREFIX)) for n in names if n.startswith(VERSION_PREFIX)]
+    return sorted(n for n in numbers if exists(spark, f"{path}/{VERSION_PREFIX}{n:06d}/_SUCCESS"))
+
+
+def _newest(spark: SparkSession, path: str) -> str | None:
+    """The newest complete version of the extra sets, or the file itself where it has no versions."""
+    numbers = _complete(spark, path)
+    if numbers:
+        return f"{path}/{VERSION_PREFIX}{numbers[-1]:06d}"
+    plain = exists(spark, path) and not any(n.startswith(VERSION_PREFIX) for n in child_names(spark, path))
+    return path if plain else None
 
 
 def write_eras(eras: DataFrame, data_dir: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping
 from typing import Any
 
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from erascope.sources.files import exists
 
-METRICS_SCHEMA = "run_id string, split string, metric string, value double"
+METRICS_SCHEMA = "run_id string, split string, metric string, value double, attempt long"
 PARAMS_SCHEMA = "run_id string, key string, value string"
 
 
@@ -21,13 +22,23 @@ class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def log_metrics(self, run_id: str, metrics: DataFrame) -> None:
-        """S10. Append ``(split, metric, value)`` rows of a run."""
-        self.append_metrics(metrics.select(F.lit(run_id).alias("run_id"), "split", "metric", "value"))
+    def log_metrics(self, run_id: str, metrics: DataFrame, new_attempt: bool = False) -> None:
+        """S10. Append ``(split, metric, value)`` rows of a run; with ``new_attempt`` they replace its earlier rows.
 
-    def append_metrics(self, metrics: DataFrame) -> None:
-        """S10. Append ``(run_id, split, metric, value)`` rows of any number of runs."""
-        metrics.select("run_id", "split", "metric", "value").write.mode("append").parquet(f"{self.root}/metrics")
+        Nothing is deleted: readers take the rows of the newest attempt of each run.
+        """
+        rows = metrics.select(F.lit(run_id).alias("run_id"), "split", "metric", "value")
+        self.append_metrics(rows, time.time_ns() if new_attempt else None)
+
+    def append_metrics(self, metrics: DataFrame, attempt: int | None = None) -> None:
+        """S10. Append ``(run_id, split, metric, value)`` rows of any number of runs, to their newest attempts."""
+        rows = metrics.select("run_id", "split", "metric", "value")
+        if attempt is None:
+            newest = self._attempts().groupBy("run_id").agg(F.max("attempt").alias("attempt"))
+            rows = rows.join(newest, "run_id", "left").withColumn("attempt", F.coalesce("attempt", F.lit(0).cast("long")))
+        else:
+            rows = rows.withColumn("attempt", F.lit(attempt).cast("long"))
+        rows.select("run_id", "split", "metric", "value", "attempt").write.mode("append").parquet(f"{self.root}/metrics")
 
     def log_params(self, run_id: str, params: Mapping[str, Any]) -> None:
         """S11. Append the flattened parameters of one run."""
@@ -39,11 +50,18 @@ class RunStore:
         params.select("run_id", "key", "value").write.mode("append").parquet(f"{self.root}/params")
 
     def metrics(self, run_id: str | None = None, split: str | None = None) -> DataFrame:
-        table = self._read("metrics", METRICS_SCHEMA)
+        """Rows of the newest attempt of each run."""
+        table = self._attempts()
         if run_id is not None:
             table = table.where(F.col("run_id") == run_id)
+        newest = table.groupBy("run_id").agg(F.max("attempt").alias("attempt"))
+        table = table.join(newest, ["run_id", "attempt"], "left_semi").select("run_id", "split", "metric", "value")
         return table if split is None else table.where(F.col("split") == split)
 
+    def _attempts(self) -> DataFrame:
+        # rows written before attempts were kept belong to attempt 0
+        return self._read("metrics", METRICS_SCHEMA).fillna(0, ["attempt"])
+
     def params(self, run_id: str | None = None) -> DataFrame:
         table = self._read("params", PARAMS_SCHEMA)
         return table if run_id is None else table.where(F.col("run_id") == run_id)

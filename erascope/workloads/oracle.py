@@ -11,7 +11,7 @@ from erascope.functions.numeric import (
     PPF_MIDDLE_OFFSET,
     PPF_TAIL,
 )
-from erascope.workloads.tables import EVENT_FEATURES, EVENT_TYPES, LINE_FEATURES, META_COLUMN
+from erascope.workloads.tables import EVENT_FEATURES, EVENT_TYPES, LINE_FEATURES, META_COLUMN, WIDE
 
 CODE = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(EVENT_TYPES))
 
@@ -637,9 +637,14 @@ def build() -> dict[str, str]:
     sql["l3_linear_preset"] = query(LINES, *ols_ctes("lines", LINE_FEATURES), select=model_rows(LINE_FEATURES))
     sql["l5_fit_step"] = query(*MODEL, select=model_rows(EVENT_FEATURES))
     sql["l6_guarded_predict"] = query(*SCORED, select=predicted + " WHERE era >= 18 AND era < 26")
+    terms = [f"{(i % 11 - 5) / 8} * ((n * {i + 1} + feature_b) % 7)" for i in range(WIDE) if i % 11 != 5]
+    wide = " + ".join("(" + " + ".join(terms[i : i + 30]) + ")" for i in range(0, len(terms), 30))
+    sql["l2_ols_predict_wide"] = f"""WITH {PANEL}, w AS (SELECT *, CAST(id AS BIGINT) AS n FROM panel)
+        SELECT id, {r6(f'0.25 + {wide}')} AS prediction FROM w"""
     sql["l7_evaluate_split"] = query(*EVALUATED, select=metric_rows("val", "_val"))
     both = metric_rows("val", "_val") + " UNION ALL " + metric_rows("test", "_test")
     sql["l8_cached_evaluation"] = query(*EVALUATED, select=both)
+    sql["l8_refit_run"] = sql["l8_cached_evaluation"]
     sql["l9_model_reload"] = query(*SCORED, select=predicted + " WHERE era >= 26 AND era < 31")
     sql["l10_populate_metrics"] = sql["l8_cached_evaluation"]
     sql["l11_best_run"] = query(

@@ -58,6 +58,7 @@ from erascope.splits import EraRange, Splits, walk_forward
 from erascope.streaming.counts import accumulate_pair_counts, accumulated_counts, pair_count_stream
 from erascope.streaming.scores import EraScoreStream, metric_bundle
 from erascope.workloads.tables import (
+    WIDE,
     EVENT_FEATURES,
     LINE_FEATURES,
     META_COLUMN,
@@ -878,10 +879,31 @@ def l3_linear_preset(spark, sf_dir):
 @query
 def l4_boosted_trees(spark, sf_dir):
     data = model_data(spark, sf_dir)
-    module = Module(boosted_trees(EVENT_FEATURES, preset="small", maxIter=5))
+    module = Module(boosted_trees(EVENT_FEATURES, preset="quick"))
     return module.train(data.train_dataset()).validate(data)
 
 
+@query
+def l2_ols_predict_wide(spark, sf_dir):
+    """A model of many columns made from ids and features; the coefficients are those of the SQL."""
+    panel = event_panel(spark, sf_dir).withColumn("n", F.col("id").cast("long"))
+    names = [f"x{i}" for i in range(WIDE)]
+    wide = panel.select("id", *[((F.col("n") * (i + 1) + F.col("feature_b")) % 7).alias(x) for i, x in enumerate(names)])
+    model = LinearModel(tuple(names), ("target",), (tuple((i % 11 - 5) / 8 for i in range(WIDE)),), (0.25,))
+    return model.transform(wide).select("id", rounded("prediction").alias("prediction"))
+
+
+@query
+def l8_refit_run(spark, sf_dir):
+    """A run that is fitted twice has the scores of its second fit only."""
+    data = model_data(spark, sf_dir)
+    store = RunStore(spark, scratch_path(spark, "runs"))
+    trainer = Trainer(store, "run", scratch_path(spark, "model"))
+    trainer.fit(Module(LeastSquares(tuple(EVENT_FEATURES[:1])), ["corr"]), data)
+    trainer.fit(least_squares_module(data), data)
+    return metric_table(store.metrics("run").select("split", "metric", "value"))
+
+
 @query
 def l5_fit_step(spark, sf_dir):
     data = model_data(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WIDE = 600  # columns of the wide model
 EVENT_FEATURES = ["feature_a", "feature_b", "feature_c", "feature_d", "feature_e"]
 LINE_FEATURES = ["feature_1", "feature_2", "feature_3", "feature_4", "feature_5"]
 META_COLUMN = "combined_meta_model"

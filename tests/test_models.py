@@ -248,3 +248,83 @@ def test_flatten_parameters(spark):
         ("x", "a", "1"), ("x", "b.c.0", "1"), ("x", "b.c.1.d", None), ("x", "b.e.0.0", "2"), ("x", "b.e.0.1", "3"),
         ("y", "a.q", "t"),
     }
+
+
+def test_prediction_from_thousands_of_features(spark):
+    from erascope.operators.linear import LinearModel
+
+    names = [f"x{i}" for i in range(3000)]
+    model = LinearModel(tuple(names), ("target",), (tuple(float(i % 7 - 3) for i in range(3000)),), (0.5,))
+    df = spark.range(3).select("id", *[(F.col("id") * i % 5).alias(n) for i, n in enumerate(names)])
+    got = {r["id"]: r["prediction"] for r in model.transform(df).select("id", "prediction").collect()}
+    assert got == {k: 0.5 + sum((i % 7 - 3) * (k * i % 5) for i in range(3000)) for k in range(3)}
+
+
+def test_elimination_by_downdating_matches_fresh_fits():
+    from erascope.operators import selection
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 90))
+    y = x[:, :20] @ rng.normal(size=20) + rng.normal(size=400)
+    full = np.column_stack([np.ones(400), x, y])
+    rows = selection.eliminate_on_products(full.T @ full, [f"f{i}" for i in range(90)], 0.05)
+    alive, dropped = list(range(90)), {}
+    while True:
+        a = x[:, alive]
+        beta = np.linalg.lstsq(a, y, rcond=None)[0]
+        rest = y - a @ beta
+        t = beta / np.sqrt(rest @ rest / (400 - len(alive)) * np.diag(np.linalg.inv(a.T @ a)))
+        if t.min() >= 0:
+            break
+        dropped[alive.pop(int(t.argmin()))] = len(dropped) + 1
+    assert {r[0]: r[6] for r in rows if r[6]} == dropped and len(dropped) > 30
+    kept = {r[0]: r for r in rows if r[6] is None}
+    assert all(abs(kept[k][3] - v) < 1e-6 for k, v in zip(alive, t, strict=True))
+
+
+def test_p_values_of_large_samples():
+    from erascope.operators.selection import student_two_sided
+
+    normal = 0.31731050786291415  # two-sided p-value of one standard deviation
+    for rows in (1e8, 1e10, 1e12, 1e15):
+        assert abs(student_two_sided(1.0, rows) - normal) < 1e-8
+    assert student_two_sided(0.0, 10) == 1.0 and abs(student_two_sided(2.228138852, 10) - 0.05) < 1e-8
+
+
+def test_other_attributions_and_starting_features(spark):
+    from erascope.operators.selection import AttributionStrategy
+    from erascope.splits import EraRange
+
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"era": np.repeat(range(1, 21), 20), "a": rng.normal(size=400), "b": rng.normal(size=400), "c": rng.normal(size=400)})
+    pdf["target"] = pdf["a"] + 0.1 * rng.normal(size=400)
+    seen = []
+
+    def attribute(train, validation, features):
+        seen.append(list(features))
+        return validation.select("target", *[F.col(f).alias(f"attr_{f}") for f in features])
+
+    strategy = AttributionStrategy(EraRange(1, 21), 5, embargo=2, attribute=attribute, starting_features=["a", "b"])
+    assert [r["feature"] for r in strategy.select(spark.createDataFrame(pdf), ["a", "b", "c"]).collect()][:1] == ["a"]
+    assert seen == [["a", "b"]]
+
+
+def test_second_fit_replaces_the_scores_of_the_first(spark, tmp_path):
+    from erascope.sources.runs import RunStore
+
+    store = RunStore(spark, str(tmp_path))
+    rows = lambda v: spark.createDataFrame([("val", "corr", v)], "split string, metric string, value double")
+    store.log_metrics("r", rows(1.0))
+    store.log_metrics("r", rows(2.0), new_attempt=True)
+    store.log_metrics("r", rows(3.0).withColumn("metric", F.lit("mmc")))
+    store.log_metrics("q", rows(4.0))
+    got = sorted(tuple(r) for r in store.metrics().collect())
+    assert got == [("q", "val", "corr", 4.0), ("r", "val", "corr", 2.0), ("r", "val", "mmc", 3.0)]
+
+
+def test_subsample_fraction_and_repeat(spark):
+    from erascope.operators.projection import subsample
+
+    df = spark.range(20_000)
+    a, b = ({r["id"] for r in subsample(df, 0.3).collect()} for _ in range(2))
+    assert a == b and abs(len(a) / 20_000 - 0.3) < 0.02 and subsample(df, 0).count() == 0
