@@ -27,7 +27,7 @@ END = "</w>"
 # The file's own rule for cutting a text into words (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SLICE = 2 << 20  # letters of text whose words share a trie
-REMEMBERED = 150_000  # runs kept between slices; pure speed, results do not depend on it
+REMEMBERED = 100_000  # runs kept between slices; pure speed, results do not depend on it
 
 
 def byte_letters() -> list[str]:
@@ -180,7 +180,8 @@ def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
         if size >= SLICE:
             yield texts[start : i + 1]
             start, size = i + 1, 0
-    yield texts[start:]
+    if start < len(texts):
+        yield texts[start:]
 
 
 def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> Column:
@@ -197,12 +198,13 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> Column:
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(shared)
         for texts in batches:
-            rows = []
+            # a slice at a time goes back, so that a worker never holds the ids of a whole batch
             for part in _slices(list(texts)):
+                rows = []
                 for ids in encoder.encode(part):
                     row = [len(ids), _digest(" ".join([encoder.numbers[i] for i in ids])), _digest(encoder.decode(ids))]
                     rows.append([*row, np.array(ids, np.int32)] if keep_ids else row)
-            yield pd.DataFrame(rows, columns=[f.name for f in fields])
+                yield pd.DataFrame(rows, columns=[f.name for f in fields])
 
     return encode.asNondeterministic()("text")
 
