@@ -12,6 +12,7 @@ from erascope import schema as S
 from erascope.operators.linear import require_trained
 
 LIVE_SCHEMA = "id string, prediction double"
+MAX_MODEL_BYTES = 1 << 30  # what every worker must be able to hold
 
 
 def predict_function(model, features: Sequence[str]) -> Callable[..., DataFrame]:
@@ -34,9 +35,15 @@ def live_predictions(panel: DataFrame, model, features: Sequence[str]) -> DataFr
 
 
 def predict_with(df: DataFrame, model, features: Sequence[str], keep: Sequence[str] = (S.ID,)) -> DataFrame:
-    """U2. Apply any picklable object with ``predict(matrix)`` to batches of rows; the model is broadcast."""
+    """U2. Apply any picklable object with ``predict(matrix)`` to batches of rows.
+
+    The model is broadcast; its size does not depend on the rows, and one above ``MAX_MODEL_BYTES`` is an error.
+    """
     # serialized by value, so that classes defined in a notebook or script work too
-    shared = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
+    content = cloudpickle.dumps(model)
+    if len(content) > MAX_MODEL_BYTES:
+        raise ValueError(f"the pickled model has {len(content)} bytes, above MAX_MODEL_BYTES={MAX_MODEL_BYTES}")
+    shared = df.sparkSession.sparkContext.broadcast(content)
     names, kept = list(features), list(keep)
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + ", prediction double"
 
