@@ -111,9 +111,11 @@ def _plan(rows: DataFrame) -> DataFrame:
     plan = plan.withColumn("rest", F.col("target") - F.col("mixed_passes") * F.col("source_size"))
     limits = thresholds(rows, plan.select("source", "rest")).select(F.col("source").alias("mixed_source"), F.col("below").alias("mixed_below"))
     plan = plan.join(limits, F.col("source").eqNullSafe(F.col("mixed_source")))
-    return plan.select(
+    plan = plan.select(
         "mixed_source", F.col("source_size").alias("mixed_size"), F.col("target").alias("mixed_target"), "mixed_passes", "mixed_below"
     )
+    # written down, so that Spark knows its size and broadcasts it if it is small: texts need no shuffle by source
+    return staged(plan, "mixture-plan")
 
 
 def _times(place: Column) -> Column:
