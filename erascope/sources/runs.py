@@ -8,7 +8,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from erascope.sources.files import exists
 
@@ -120,33 +119,21 @@ def flatten(params: Any, prefix: str = "") -> dict[str, Any]:
 def flatten_json(df: DataFrame, run_id: str, params: str) -> DataFrame:
     """S11 for many runs: ``(run_id, key, value)`` from a column of JSON objects of any nesting.
 
-    The merged type of the documents tells how deep they nest; each level is one explode of maps or
-    arrays, and leaves found on the way pass through.
+    Documents are variants, so a text that looks like JSON stays a leaf. Their merged type tells how deep they
+    nest; each level opens the containers of the level before, in one pass over the rows. Empty lists and
+    objects have no leaves, as in ``flatten``.
     """
     spark = df.sparkSession
-    merged = df.agg(F.schema_of_variant_agg(F.parse_json(params)).alias("t")).first()["t"]
-    depth = merged.count("OBJECT<") + merged.count("ARRAY<")
-    leaves = None
-    open_ = df.select(F.col(run_id).cast("string").alias("run_id"), F.lit("").alias("key"), F.col(params).alias("v"))
-    map_type = T.MapType(T.StringType(), T.StringType())
-    list_type = T.ArrayType(T.StringType())
-    for _ in range(depth):
-        is_map, is_list = F.col("v").startswith("{"), F.col("v").startswith("[")
-        items = F.from_json("v", list_type)
-        children = F.when(is_map, F.map_entries(F.from_json("v", map_type))).when(
-            is_list,
-            F.transform(
-                items, lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))
-            ),
+    rows = df.select(F.col(run_id).cast("string").alias("run_id"), F.lit(None).cast("string").alias("key"), F.parse_json(params).alias("v"))
+    merged = rows.agg(F.schema_of_variant_agg("v").alias("t")).first()["t"] or ""
+    for _ in range(merged.count("OBJECT<") + merged.count("ARRAY<")):
+        opened = spark.sql(
+            "SELECT run_id, r.key, v, e.pos, e.key AS name, e.value AS child FROM {rows} AS r, LATERAL variant_explode_outer(v) AS e",
+            rows=rows,
         )
-        open_ = open_.withColumn("_c", children)
-        done = open_.where(F.col("_c").isNull()).select("run_id", "key", F.col("v").alias("value"))
-        leaves = done if leaves is None else leaves.unionByName(done)
-        name = F.when(F.col("key") == "", F.col("_e.key")).otherwise(F.concat_ws(".", "key", "_e.key"))
-        open_ = (
-            open_.where(F.col("_c").isNotNull())
-            .select("run_id", "key", F.explode("_c").alias("_e"))
-            .select("run_id", name.alias("key"), F.col("_e.value").alias("v"))
+        inside = F.concat_ws(".", "key", F.coalesce("name", F.col("pos").cast("string")))
+        rows = opened.select(
+            "run_id", F.when(F.col("child").isNull(), F.col("key")).otherwise(inside).alias("key"), F.coalesce("child", "v").alias("v")
         )
-    rest = open_.select("run_id", "key", F.col("v").alias("value"))
-    return rest if leaves is None else leaves.unionByName(rest)
+    leaves = rows.where(F.col("v").isNotNull() & ~F.to_json("v").isin("{}", "[]"))
+    return leaves.select("run_id", F.coalesce("key", F.lit("")).alias("key"), F.variant_get("v", "$", "string").alias("value"))

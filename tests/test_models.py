@@ -328,3 +328,18 @@ def test_subsample_fraction_and_repeat(spark):
     df = spark.range(20_000)
     a, b = ({r["id"] for r in subsample(df, 0.3).collect()} for _ in range(2))
     assert a == b and abs(len(a) / 20_000 - 0.3) < 0.02 and subsample(df, 0).count() == 0
+
+
+def test_text_that_looks_like_json_is_a_leaf(spark):
+    import json
+
+    from erascope.sources.runs import flatten, flatten_json
+
+    documents = [
+        {"a": "[1,2]", "b": [], "c": {}, "d": {"e": [1, {"f": "x"}], "g": None, "h": '{"k": 1}'}, "i": True},
+        {"a": {"deep": [[1, 2], [3]]}, "b": "plain"},
+    ]
+    frame = spark.createDataFrame([(str(i), json.dumps(d)) for i, d in enumerate(documents)], "run string, doc string")
+    got = {(r["run_id"], r["key"]): r["value"] for r in flatten_json(frame, "run", "doc").collect()}
+    text = lambda v: None if v is None else json.dumps(v) if isinstance(v, bool) else str(v)
+    assert got == {(str(i), k): text(v) for i, d in enumerate(documents) for k, v in flatten(d).items()}
