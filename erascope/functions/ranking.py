@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from erascope.functions.numeric import with_norm_ppf
+from erascope.session import scratch_path
 
 HOT_GROUP_ROWS = 8_000_000
 BROADCAST_GROUPS = 100_000
@@ -83,22 +84,27 @@ def per_group(
     strategy: str,
     build: Callable[[DataFrame, str, bool], DataFrame],
     limit: int = HOT_GROUP_ROWS,
+    narrow: bool = False,
 ) -> DataFrame:
     """Apply ``build(part, "window" | "prefix", small_stats)`` to all groups.
 
     With ``auto`` small groups take the window plan and hot groups the prefix plan; the results are
     stacked. ``small_stats`` tells ``build`` that one row per group is known to fit a broadcast.
+
+    The prefix plan reads its input several times. A ``narrow`` input, one of few columns, is written down
+    once before that, so that what lies above it (a scan of a wide panel, a model) runs once.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
     if not by:
         return build(df, "prefix", True)
     if strategy != "auto":
-        return build(df, strategy, False)
+        return build(written(df) if narrow and strategy == "prefix" else df, strategy, False)
     profile = profile_groups(df, by, limit)
     small = profile.groups <= BROADCAST_GROUPS
     if profile.hot == 0:
         return build(df, "window", small)
+    df = written(df) if narrow else df
     if profile.hot == profile.groups:
         return build(df, "prefix", small)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
@@ -109,6 +115,13 @@ def per_group(
     return build(cold_rows, "window", small).unionByName(build(hot_rows, "prefix", small))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def add_group_stats(
     df: DataFrame, stats: Mapping[str, Column], by: Sequence[str], how: str, small: bool = False
 ) -> DataFrame:

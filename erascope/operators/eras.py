@@ -18,8 +18,8 @@ from erascope.functions.ranking import (
     add_group_stats,
     as_rankable,
     per_group,
+    written,
 )
-from erascope.session import scratch_path
 
 BY_ERA = ("era",)
 
@@ -129,16 +129,10 @@ def add_ensemble(
     scored = scored.drop(*scores, *spread)
     if how == "prefix":
         # the means are read twice, for their distinct values and for the rows: written down once
-        scored = _written(scored)
+        scored = written(scored)
     return add_normal_scores(scored, {out: "_mean"}, by, how, small).drop("_mean")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = scratch_path(df.sparkSession, "ensemble")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _ranked(
     df: DataFrame, columns: Mapping[str, str], by: Sequence[str], how: str, small: bool
 ) -> DataFrame:

@@ -16,6 +16,7 @@ from erascope.functions.ranking import (
     join_back,
     per_group,
     profile_groups,
+    written,
 )
 from erascope.operators.eras import add_ensemble, add_normal_scores
 
@@ -131,7 +132,7 @@ def era_scores(
             F.count(F.lit(1)).alias("n"), *[a.alias(name) for name, a in aggs.items()]
         )
 
-    return per_group(rows, [era], strategy, build, hot_rows)
+    return per_group(rows, [era], strategy, build, hot_rows, narrow=True)
 
 
 def global_scores(
@@ -144,7 +145,8 @@ def global_scores(
         raise ValueError("without eras only one prediction column can be scored")
     needs_meta = any(m != "corr" for m in metrics)
     part, meta_column = _meta_or_nan(df, meta) if needs_meta else (df, None)
-    scored = scoring_columns(part, columns, target, meta_column, [], "prefix", True)
+    used = dict.fromkeys([target, *columns, *([meta_column] if meta_column else [])])
+    scored = scoring_columns(written(part.select(*used)), columns, target, meta_column, [], "prefix", True)
     aggs = score_aggregates(metrics)
     return scored.agg(F.count(F.lit(1)).alias("n"), *[a.alias(name) for name, a in aggs.items()])
 
