@@ -10,7 +10,7 @@ value, and at most 27 can meet at one, so the links stay linear in the bucket an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -89,10 +89,10 @@ def near_links(prints: DataFrame) -> DataFrame:
     return pairs.select("a", "b").unionByName(stars.select("a", "b"))
 
 
-def link_prints(printed: DataFrame) -> DataFrame:
+def link_prints(printed: DataFrame, links: Callable[[DataFrame], DataFrame] = near_links) -> DataFrame:
     """``print, root, component_id`` per distinct value of ``print`` in rows ``doc_id, print``; ``root`` names the group."""
     classes = staged(printed.groupBy("print").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = components(near_links(classes))
+    roots = components(links(classes))
     joined = classes.join(roots, classes["print"] == roots["node"], "left")
     joined = joined.select("print", "first", F.coalesce("root", "print").alias("root"))
     lowest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -119,7 +119,12 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     narrow = staged(
         docs.select("doc_id", F.xxhash64("text").alias("hash"), fingerprint_column("text").alias("print")), "simhash-prints"
     )
-    rows = narrow.join(link_prints(narrow), "print").groupBy("root", "component_id", "doc_id", "hash").agg(F.count(F.lit(1)).alias("rows"))
+    return keep_first(docs, narrow, link_prints(narrow))
+
+
+def keep_first(docs: DataFrame, narrow: DataFrame, linked: DataFrame) -> DataFrame:
+    """``docs`` without what ``narrow`` (``doc_id, hash, print`` of its rows) and ``linked`` (see ``link_prints``) drop."""
+    rows = narrow.join(linked, "print").groupBy("root", "component_id", "doc_id", "hash").agg(F.count(F.lit(1)).alias("rows"))
     rows = staged(rows, "simhash-rows")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     first = rows.filter(stays).groupBy("root").agg(F.min("hash").alias("first"))
