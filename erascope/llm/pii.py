@@ -257,7 +257,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """``text`` with every span replaced by its kind in brackets; of overlapping spans the first one counts."""
+    """``text`` with every span, in order of start, replaced by its kind in brackets; what overlapping spans cover goes under the first one's kind."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(done: Column, s: Column) -> Column:
@@ -265,7 +265,7 @@ def mask(text: Column, spans: Column) -> Column:
         grown = F.concat(done["parts"], F.array(piece, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
         fresh = s["start"] >= done["at"]
         return F.struct(
-            F.when(fresh, s["end"]).otherwise(done["at"]).alias("at"), F.when(fresh, grown).otherwise(done["parts"]).alias("parts")
+            F.greatest(s["end"], done["at"]).alias("at"), F.when(fresh, grown).otherwise(done["parts"]).alias("parts")
         )
 
     rest = F.aggregate(spans, start, step, lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.lit(2147483647))))
