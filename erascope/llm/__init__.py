@@ -1 +1 @@
-"""Operators for preparing training text: ten methods, each a module of its own."""
+"""Operators for preparing training text: thirteen methods, each a module of its own."""
