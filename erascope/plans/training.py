@@ -19,6 +19,7 @@ from erascope.errors import NotTrained
 from erascope.operators.linear import LeastSquares, LinearModel, require_trained
 from erascope.operators.projection import project_panel, resolve_features, resolve_targets, subsample
 from erascope.operators.scores import METRICS, UserScore, era_scores, score_summary
+from erascope.operators.trees import HistogramTrees, TreeModel
 from erascope.sources.files import exists
 from erascope.sources.runs import RunStore, split_metric
 from erascope.splits import Splits
@@ -37,6 +38,17 @@ TREE_PRESETS["quick"] = {"maxIter": 12, "stepSize": 0.1, "maxDepth": 4, "feature
 TREE_COLUMN_FRACTION = "0.1"
 
 
+def histogram_trees(features: Sequence[str], target: str = "target", preset: str = "small", **overrides) -> HistogramTrees:
+    """L4. Trees by exact histograms with a preset's rounds, rate and depth; any parameter can be overridden."""
+    params = TREE_PRESETS[preset]
+    fraction = params.get("featureSubsetStrategy", TREE_COLUMN_FRACTION)
+    chosen = {
+        "rounds": params["maxIter"], "rate": params["stepSize"], "depth": params["maxDepth"],
+        "column_fraction": 1.0 if fraction == "all" else float(fraction), **overrides,
+    }
+    return HistogramTrees(tuple(features), target, **chosen)
+
+
 def boosted_trees(features: Sequence[str], target: str = "target", preset: str = "small", **overrides) -> Pipeline:
     """L4. MLlib boosted trees with a preset's rounds, rate and depth; any parameter can be overridden.
 
@@ -147,10 +159,12 @@ class Module:
         return self.evaluate(data.test_dataset(), TEST, data.eval_target, data.meta)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """L9. Coefficients as a table, or an MLlib model folder."""
+        """L9. Coefficients or trees as tables, or an MLlib model folder."""
         model = require_trained(self.model)
         if isinstance(model, LinearModel):
             model.save(spark, f"{path}/linear")
+        elif isinstance(model, TreeModel):
+            model.save(spark, f"{path}/trees")
         else:
             model.write().overwrite().save(f"{path}/mllib")
 
@@ -159,6 +173,8 @@ class Module:
         module = cls(None, metrics)
         if exists(spark, f"{path}/linear"):
             module.model = LinearModel.load(spark, f"{path}/linear")
+        elif exists(spark, f"{path}/trees"):
+            module.model = TreeModel.load(spark, f"{path}/trees")
         else:
             module.model = PipelineModel.load(f"{path}/mllib")
         return module

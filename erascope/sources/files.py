@@ -25,3 +25,9 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(p):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(p))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written and nothing reads any more."""
+    p, fs = _path(spark, path)
+    fs.delete(p, True)

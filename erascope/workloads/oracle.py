@@ -11,6 +11,8 @@ from erascope.functions.numeric import (
     PPF_MIDDLE_OFFSET,
     PPF_TAIL,
 )
+from erascope.operators.trees import HistogramTrees
+from erascope.plans.training import histogram_trees
 from erascope.workloads.tables import EVENT_FEATURES, EVENT_TYPES, LINE_FEATURES, META_COLUMN, WIDE
 
 CODE = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(EVENT_TYPES))
@@ -288,6 +290,45 @@ def panel_digest(source: str) -> str:
     return f"SELECT {', '.join(cells)} FROM {source} GROUP BY ALL"
 
 
+def tree_ctes(source: str, features: list[str], train: str, trees: HistogramTrees, tag: str = "") -> list[str]:
+    """Boosted trees level by level: rows carry their prediction ``p`` and node, sums come from the ``train`` rows.
+
+    Ends in ``nodes{tag}`` (the table of nodes without the base) and ``grown{tag}`` (all rows with their prediction).
+    """
+    xs = ", ".join(f"{c} AS x{i}" for i, c in enumerate(features))
+    ctes = [
+        f"r{tag}_0 AS MATERIALIZED (SELECT *, {xs}, CAST(target AS DOUBLE) AS y, ({train}) AS seen,"
+        f" (SELECT avg(CAST(target AS DOUBLE)) FROM {source} WHERE {train}) AS p FROM {source})"
+    ]
+    nodes = []
+    for t in range(trees.rounds):
+        ctes.append(f"a{tag}_{t}_0 AS MATERIALIZED (SELECT *, 0 AS node FROM r{tag}_{t})")
+        for d in range(trees.depth):
+            name, first = f"{tag}_{t}_{d}", 2**d - 1
+            long = " UNION ALL ".join(
+                f"SELECT node, {f} AS f, x{f} AS x, y - p AS g FROM a{name} WHERE seen AND node >= {first}" for f in trees.sampled(t)
+            )
+            ctes += [
+                f"c{name} AS MATERIALIZED (SELECT node, f, x, sum(g) AS g, count(*) AS n FROM ({long}) GROUP BY ALL)",
+                f"s{name} AS (SELECT node, f, x, sum(g) OVER up AS gl, sum(n) OVER up AS nl, sum(g) OVER pair AS g, sum(n) OVER pair AS n"
+                f" FROM c{name} WINDOW up AS (PARTITION BY node, f ORDER BY x ROWS UNBOUNDED PRECEDING), pair AS (PARTITION BY node, f))",
+                f"b{name} AS MATERIALIZED (SELECT * FROM (SELECT node, f, x, n,"
+                f" round(gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) - g * g / (n + 1), 9) AS gain FROM s{name} WHERE nl < n)"
+                f" WHERE gain > 1e-6 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, x) = 1)",
+                f"a{tag}_{t}_{d + 1} AS MATERIALIZED (SELECT a.* EXCLUDE (node), CASE WHEN b.node IS NULL THEN a.node"
+                f" ELSE 2 * a.node + 1 + CAST(CASE b.f {' '.join(f'WHEN {f} THEN a.x{f}' for f in trees.sampled(t))} END > b.x AS INTEGER) END AS node"
+                f" FROM a{name} a LEFT JOIN b{name} b ON a.node = b.node)",
+            ]
+            nodes.append(f"SELECT {t} AS tree, node, {named('f', features)} AS feature, x AS threshold, NULL AS value, gain, n AS rows FROM b{name}")
+        last = f"{tag}_{t}_{trees.depth}"
+        ctes += [
+            f"v{tag}_{t} AS MATERIALIZED (SELECT node, {trees.rate} * sum(y - p) / (count(*) + 1) AS value, count(*) AS n FROM a{last} WHERE seen GROUP BY node)",
+            f"r{tag}_{t + 1} AS MATERIALIZED (SELECT a.* EXCLUDE (node, p), p + coalesce(value, 0) AS p FROM a{last} a LEFT JOIN v{tag}_{t} v ON a.node = v.node)",
+        ]
+        nodes.append(f"SELECT {t}, node, NULL, NULL, value, 0, n FROM v{tag}_{t}")
+    return [*ctes, f"nodes{tag} AS ({' UNION ALL '.join(nodes)})", f"grown{tag} AS (SELECT * FROM r{tag}_{trees.rounds})"]
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     feats = ", ".join(EVENT_FEATURES)
@@ -673,6 +714,29 @@ def build() -> dict[str, str]:
         ),
     )
 
+    # boosted trees
+    few = histogram_trees(EVENT_FEATURES, preset="small", rounds=4, depth=3, rate=0.3, column_fraction=0.4)
+    event_trees = [PANEL, *tree_ctes("panel", EVENT_FEATURES, "era < 17", few)]
+    sql["l4_tree_table"] = query(
+        *event_trees,
+        select="SELECT CAST(tree AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, feature, CAST(threshold AS INTEGER) AS threshold,"
+        f" {r6('value')} AS value, {r6('gain')} AS gain, CAST(rows AS BIGINT) AS rows FROM nodes"
+        f" UNION ALL SELECT -1, 0, NULL, NULL, {r6('avg(CAST(target AS DOUBLE))')}, 0.0, 0 FROM panel WHERE era < 17",
+    )
+    sql["l4_tree_scores"] = query(
+        *event_trees, select=f"SELECT era, count(*) AS n, {r6('avg(p)')} AS prediction, {r6('avg((y - p) * (y - p))')} AS error FROM grown GROUP BY era"
+    )
+    presets = {name: histogram_trees(LINE_FEATURES, preset=name, rounds=3, column_fraction=0.6) for name in ("small", "large", "deep")}
+    sql["l4_tree_presets"] = query(
+        LINES, "early AS (SELECT * FROM lines WHERE era < 40)",
+        *[c for name, trees in presets.items() for c in tree_ctes("early", LINE_FEATURES, "TRUE", trees, f"_{name}")],
+        select=" UNION ALL ".join(
+            f"SELECT '{name}' AS preset, CAST(tree AS INTEGER) AS tree, CAST(sum(rows) AS BIGINT) AS rows, {r6('sum(value)', 9)} AS value, count(*) AS leaves"
+            f" FROM nodes_{name} WHERE feature IS NULL GROUP BY tree"
+            for name in presets
+        ),
+    )
+
     # sort, limit, top-k
     sql["t1_first_n_features"] = sql["s9_selected_sink"]
     sql["t2_argmax"] = query(

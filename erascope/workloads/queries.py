@@ -35,6 +35,7 @@ from erascope.operators.selection import (
     select_features,
     selected_only,
 )
+from erascope.operators.trees import HistogramTrees
 from erascope.plans.feature_ranking import rank_and_store, rank_features
 from erascope.plans.prepare import build_panel, prepare_panel, rebuild_panel, scan_current
 from erascope.plans.serving import live_predictions, predict_with
@@ -43,6 +44,7 @@ from erascope.plans.training import (
     PanelData,
     Trainer,
     boosted_trees,
+    histogram_trees,
     evaluate_predictions,
     least_squares_module,
     ml_linear,
@@ -883,6 +885,42 @@ def l4_boosted_trees(spark, sf_dir):
     return module.train(data.train_dataset()).validate(data)
 
 
+def event_trees() -> HistogramTrees:
+    """A preset with few rounds and two columns a tree; residuals are written anew within the run."""
+    return histogram_trees(EVENT_FEATURES, preset="small", rounds=4, depth=3, rate=0.3, column_fraction=0.4, write_every=2)
+
+
+@query
+def l4_tree_table(spark, sf_dir):
+    model = event_trees().fit(event_panel(spark, sf_dir).where(SPLITS.train.contains()))
+    return model.table(spark).withColumn("value", rounded("value")).withColumn("gain", rounded("gain"))
+
+
+@query
+def l4_tree_scores(spark, sf_dir):
+    """Squared errors and predictions of the trees per era, in all eras."""
+    panel = event_panel(spark, sf_dir)
+    scored = event_trees().fit(panel.where(SPLITS.train.contains())).transform(panel)
+    error = F.col("target").cast("double") - F.col("prediction")
+    return scored.groupBy("era").agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.avg("prediction")).alias("prediction"), rounded(F.avg(error * error)).alias("error")
+    )
+
+
+@query
+def l4_tree_presets(spark, sf_dir):
+    """The first rounds of each preset with its own rate and depth: leaves, their values and rows per tree."""
+    panel = line_panel(spark, sf_dir).where("era < 40")
+    parts = []
+    for preset in ("small", "large", "deep"):
+        trees = histogram_trees(LINE_FEATURES, preset=preset, rounds=3, column_fraction=0.6)
+        model = trees.fit(panel)
+        parts.append(model.table(spark).where("tree >= 0 AND feature IS NULL").groupBy(F.lit(preset).alias("preset"), "tree").agg(
+            F.sum("rows").alias("rows"), rounded(F.sum("value"), 9).alias("value"), F.count(F.lit(1)).alias("leaves")
+        ))
+    return union(parts)
+
+
 @query
 def l2_ols_predict_wide(spark, sf_dir):
     """A model of many columns made from ids and features; the coefficients are those of the SQL."""
