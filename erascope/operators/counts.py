@@ -92,6 +92,28 @@ def count_pairs_with_target(
     return _tiled(rows, list(features), levels, tile, max_tasks)
 
 
+def count_pairs_between(
+    rows: DataFrame, features: Sequence[str], left: Sequence[int], right: Sequence[int], levels: int = S.FEATURE_LEVELS
+) -> DataFrame:
+    """``(f1, f2, y, cells)`` for every feature of ``left`` with every one of ``right``, by position.
+
+    ``rows`` have the features and the class ``_y``. ``cells`` counts the values ``(u, v)`` in order. A task holds as many
+    features of ``left`` at once as fit with ``right`` into the cells of two full tiles, and reads the columns of these only.
+    """
+    size = max(1, TILE * TILE // max(1, len(right)))
+    cells = [f"c{u}_{v}" for u in range(levels) for v in range(levels)]
+    schema = "f1 int, f2 int, y tinyint, " + ", ".join(f"{c} bigint" for c in cells)
+    partial = None
+    for start in range(0, len(left), size):
+        some = list(left[start : start + size])
+        needed = dict.fromkeys([features[i] for i in some] + [features[i] for i in right])
+        part = rows.select("_y", *needed).coalesce(partial_tasks(rows.sparkSession))
+        counted = part.mapInArrow(_one_hot_counter(list(features), some, list(right), levels, ordered=False), schema)
+        partial = counted if partial is None else partial.unionAll(counted)
+    summed = partial.groupBy("f1", "f2", "y").agg(*[F.sum(c).alias(c) for c in cells])
+    return summed.select("f1", "f2", "y", F.array(*cells).alias("cells"))
+
+
 def count_pairs(df: DataFrame, features: Sequence[str], levels: int = S.FEATURE_LEVELS, **options) -> DataFrame:
     """A9. ``(f1, f2, u, v, n)`` for ``f1 <= f2``, over all rows."""
     return count_pairs_with_target(df, features, F.lit(0), levels, **options).drop("y")
@@ -147,9 +169,12 @@ def _tiled(rows: DataFrame, features: list[str], levels: int, tile: int, max_tas
     return long.where(F.col("n") > 0).select("f1", "f2", "u", "v", "y", "n")
 
 
-def _one_hot_counter(features: list[str], left: range, right: range, levels: int):
-    """Function for ``mapInArrow``: counts of all value pairs of two feature tiles, per target class."""
-    same = left == right
+def _one_hot_counter(features: list[str], left: Sequence[int], right: Sequence[int], levels: int, ordered: bool = True):
+    """Function for ``mapInArrow``: counts of all value pairs of two feature tiles, per target class.
+
+    ``ordered`` keeps only pairs whose first feature does not stand behind the second.
+    """
+    same = list(left) == list(right)
     first, second = list(left), list(right)
 
     def count(batches: Iterator):
@@ -184,7 +209,7 @@ def _one_hot_counter(features: list[str], left: range, right: range, levels: int
         if not seen:
             return
         fi, fj = np.meshgrid(first, second, indexing="ij")
-        upper = (fi <= fj).ravel()
+        upper = (fi <= fj).ravel() if ordered else np.ones(fi.size, dtype=bool)
         f1 = fi.ravel()[upper].astype(np.int32)
         f2 = fj.ravel()[upper].astype(np.int32)
         for k in range(levels):

@@ -41,6 +41,38 @@ def cmi_of_pairs(counts: DataFrame) -> DataFrame:
     return pair_information(counts).select("f1", "f2", "cmi")
 
 
+def information_between(counts: DataFrame) -> DataFrame:
+    """``(f1, f2, mi, cmi)`` from ``(f1, f2, y, cells)``, whose ``cells`` count the values ``(u, v)`` of a pair in order.
+
+    A pair is one row of nested arrays, at most ``levels ** 3`` numbers; its sums are taken inside the row.
+    """
+    cells = F.transform("classes", lambda c: c.cast("array<double>"))
+    width = F.sqrt(F.size(F.col("classes")[0])).cast("int")
+    rows = counts.groupBy("f1", "f2").agg(F.collect_list("cells").alias("classes")).select("f1", "f2", cells.alias("classes"), width.alias("w"))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def added(tables: Column) -> Column:
+        return F.aggregate(tables, F.array_repeat(F.lit(0.0), F.size(F.col("classes")[0])), lambda a, t: F.zip_with(a, t, lambda x, y: x + y))
+
+    def information(table: Column, w: Column) -> Column:
+        """Sum of n log(n * all / (n of u * n of v)) over a table of counts."""
+        places = F.sequence(F.lit(0), w - 1)
+        of_u = F.transform(places, lambda u: total(F.slice(table, u * w + 1, w)))
+        of_v = F.transform(places, lambda v: total(F.filter(table, lambda _, i: i % w == v)))
+        every = total(table)
+        terms = F.transform(
+            table, lambda n, i: F.when(n > 0, n * F.log(n * every / (F.get(of_u, F.floor(i / w).cast("int")) * F.get(of_v, i % w)))).otherwise(0.0)
+        )
+        return total(terms)
+
+    n = total(F.col("all"))
+    summed = rows.withColumn("all", added(F.col("classes")))
+    given = F.aggregate("classes", F.lit(0.0), lambda a, t: a + information(t, F.col("w")))
+    return summed.select("f1", "f2", (information(F.col("all"), F.col("w")) / n).alias("mi"), (given / n).alias("cmi"))
+
+
 def pair_information(counts: DataFrame) -> DataFrame:
     """F1-F3 in one pass over pair counts: ``(f1, f2, mi, cmi, relevance)``.
 

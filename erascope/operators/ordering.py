@@ -7,6 +7,7 @@ feature list squared, not of the data.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,16 +18,23 @@ from erascope.session import shared_dir
 CRITERIA = ("CIFE", "JMI", "CMIM", "JMIM", "DMIM")
 DEFAULT_CRITERION = "DMIM"
 
+# Longest feature list whose pair table (125,000 rows) is ordered in one task per criterion.
+DENSE = 500
+
 
 def greedy_order(
     pairs: DataFrame, criteria: Sequence[str] = CRITERIA, top_k: int | None = None
 ) -> DataFrame:
-    """F9. ``(method, pos, f, objective)``; the criteria run in parallel, ties go to the lowest position.
+    """F9. ``(method, pos, f, objective)``; ties go to the lowest position.
 
-    A task holds the pair table of one criterion: 16 bytes per pair of features, 400 MB at 5,000 features,
-    independent of the rows. ``greedy_order_steps`` needs no such task and gives the same order.
+    Up to ``DENSE`` features a task per criterion holds the pair table; longer lists take one small job per pick, and no
+    task holds more than a part of it. ``lazy_ordering`` needs no pair table at all. All give the same order.
     """
-    _check(criteria)
+    check_criteria(criteria)
+    last = pairs.agg(F.max("f2")).first()[0]
+    if last is not None and last >= DENSE:
+        orders = [greedy_order_steps(pairs, c, top_k or last + 1) for c in criteria]
+        return reduce(lambda a, b: a.unionByName(b), orders)
     per_method = pairs.select(
         F.explode(F.array(*[F.lit(c) for c in criteria])).alias("method"), "f1", "f2", "mi", "cmi", "relevance"
     )
@@ -40,7 +48,7 @@ def greedy_order_steps(pairs: DataFrame, criterion: str = DEFAULT_CRITERION, top
 
     Each step reads the pair rows of the feature picked last and updates one row per candidate.
     """
-    _check([criterion])
+    check_criteria([criterion])
     spark = pairs.sparkSession
     shared_dir(spark)  # where the state of every step is kept
     state = pairs.where(F.col("f1") == F.col("f2")).select(
@@ -71,7 +79,7 @@ def named_order(order: DataFrame, features: Sequence[str]) -> DataFrame:
     return order.select("method", "pos", F.element_at(names, F.col("f") + 1).alias("feature"))
 
 
-def _check(criteria: Sequence[str]) -> None:
+def check_criteria(criteria: Sequence[str]) -> None:
     unknown = [c for c in criteria if c not in CRITERIA]
     if unknown:
         raise ValueError(f"unknown criteria {unknown}; known are {CRITERIA}")

@@ -648,6 +648,7 @@ def build() -> dict[str, str]:
         *event_info, *all_greedy,
         select=" UNION ALL ".join(f"SELECT '{m}' AS method, pos, f FROM {m.lower()}_picks" for m in methods),
     )
+    sql["f9_lazy_orders"] = f"SELECT * FROM ({sql['f9_greedy_orders']}) WHERE method IN ('CMIM', 'JMIM', 'DMIM')"
     sql["f9_greedy_steps"] = query(
         *event_info, *greedy_ctes("DMIM", five), select="SELECT 'DMIM' AS method, pos, f FROM dmim_picks"
     )
