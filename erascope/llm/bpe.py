@@ -4,17 +4,17 @@ The distinct words of a slice of texts form a trie, which is walked depth first.
 token of the encoding of its prefix: the vocabulary entry ending there that may follow the last token
 of what is left of it. Two tokens may follow each other if encoding their joined text gives the two back, and
 an encoding is right exactly if each of its neighbours may follow each other. The states of a shared prefix
-are computed once, a word costs at most the longest token's length per letter, and texts look up what
-stands between their spaces.
+are computed once, a word costs at most the longest token's length per letter, and texts look their words up:
+the number of tokens, their ids as text and their names, which are all that is joined per text.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,11 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from erascope.llm.common import Memory
+
 END = "</w>"
 # The file's own rule for cutting a text into words (fixed value).
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The same rule for lower-case texts of letters that have no other form and whose kind has never changed.
+PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 SLICE = 2 << 20  # letters of text whose words share a trie
-REMEMBERED = 100_000  # runs kept between slices; pure speed, results do not depend on it
+REMEMBERED = 250_000  # words of either kind kept between slices (see ``Memory``)
+Joined = tuple[int, str, str]  # number of tokens, their ids and their names, each joined by one space
 
 
 def byte_letters() -> list[str]:
@@ -69,7 +75,7 @@ class Encoder:
         self.may_follow: dict[tuple[str, str], bool] = {}
         self.names = [self.token_of.get(i, "") for i in range(max(self.token_of) + 1)]
         self.numbers = [str(i) for i in range(len(self.names))]
-        self.runs: dict[str, tuple[int, ...]] = {name: (number,) for name, number in self.special.items()}
+        self.words = Memory(REMEMBERED)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -117,8 +123,8 @@ class Encoder:
                 return key[1]
         raise ValueError(f"the vocabulary lacks the letter {path[depth - 1 : depth]!r}")
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Token ids of each distinct word."""
+    def encode_words(self, words: Iterable[str]) -> dict[str, Joined]:
+        """The tokens of each distinct word."""
         found = {}
         rows = sorted((w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.letters), w) for w in words)
         tokens, last = [""], ""  # tokens[d]: last token of the first d letters of the path to the current node
@@ -137,42 +143,50 @@ class Encoder:
                 parts.append(tokens[at])
                 at -= len(tokens[at])
             parts.reverse()
-            found[word] = tuple([self.ids[p] for p in parts])
+            found[word] = (len(parts), " ".join([self.numbers[self.ids[p]] for p in parts]), " ".join(parts))
             last = path
         return found
 
     def split(self, text: str | None) -> list[str]:
-        """Runs of a text between spaces and line ends, and special tokens with their own spelling, in order."""
+        """Words of a text, and special tokens in their own spelling, in order."""
         pieces = self.cut.split(text or "") if self.cut else [text or ""]
-        runs: list[str] = []
+        words: list[str] = []
         for i, piece in enumerate(pieces):
-            runs += [piece] if i % 2 else piece.replace("\n", " ").split(" ")
-        return runs
-
-    def words_of(self, run: str) -> list[str]:
-        """Words of a run; white space never lies inside a word, so runs can be cut one by one."""
-        # lower case letter by letter: the final sigma has no form of its own here
-        return WORDS.findall(unicodedata.normalize("NFC", run).replace("Σ", "σ").lower())
-
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
-        """Token ids of each text."""
+            if i % 2:
+                words.append(piece)
+            elif PLAIN.fullmatch(piece):
+                words += PLAIN_WORDS.findall(piece.lower())
+            else:
+                # lower case letter by letter: the final sigma has no form of its own here
+                words += WORDS.findall(unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower())
+        return words
+
+    def encode(self, texts: list[str | None]) -> Iterator[Joined]:
+        """Number of tokens, ids as text and decoded text of each text."""
         split = [self.split(t) for t in texts]
-        cut = {run: self.words_of(run) for run in {r for runs in split for r in runs} - self.runs.keys()}
-        words = self.encode_words({w for ws in cut.values() for w in ws})
-        fresh = {run: words[ws[0]] if len(ws) == 1 else tuple([i for w in ws for i in words[w]]) for run, ws in cut.items()}
-        known = self.runs
-        for runs in split:
-            yield list(chain.from_iterable([known[r] if r in known else fresh[r] for r in runs]))
-        for run, value in fresh.items():
-            if len(known) >= REMEMBERED:
-                break
-            known[run] = value
+        needed = {w for ws in split for w in ws}
+        words, missing = self.words.known(needed - self.special.keys())
+        fresh = self.encode_words(missing)
+        self.words.keep(fresh)
+        words |= fresh
+        for name in needed & self.special.keys():
+            words[name] = (1, self.numbers[self.special[name]], name)
+        for ws in split:
+            yield joined([words[w] for w in ws])
 
     def decode(self, ids: Iterable[int]) -> str:
         """Token texts joined by one space, as a tokenizer without a decoder does; unknown ids are left out."""
         return " ".join([self.names[i] for i in ids if 0 <= i < len(self.names)])
 
 
+def joined(parts: list[Joined]) -> Joined:
+    """The words of a text in one."""
+    if not parts:
+        return 0, "", ""
+    counts, ids, names = zip(*parts, strict=True)
+    return sum(counts), " ".join(ids), " ".join(names)
+
+
 def _slices(texts: list[str | None]) -> Iterator[list[str | None]]:
     start = size = 0
     for i, text in enumerate(texts):
@@ -201,9 +215,9 @@ def encoded(docs: DataFrame, path: str, keep_ids: bool = False) -> Column:
             # a slice at a time goes back, so that a worker never holds the ids of a whole batch
             for part in _slices(list(texts)):
                 rows = []
-                for ids in encoder.encode(part):
-                    row = [len(ids), _digest(" ".join([encoder.numbers[i] for i in ids])), _digest(encoder.decode(ids))]
-                    rows.append([*row, np.array(ids, np.int32)] if keep_ids else row)
+                for count, ids, text in encoder.encode(part):
+                    row = [count, _digest(ids), _digest(text)]
+                    rows.append([*row, np.fromstring(ids, np.int32, sep=" ")] if keep_ids else row)
                 yield pd.DataFrame(rows, columns=[f.name for f in fields])
 
     return encode.asNondeterministic()("text")

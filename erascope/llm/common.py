@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +39,36 @@ def spare_name(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     return name
+
+
+class Memory:
+    """What a worker keeps of words between batches of text; pure speed, results do not depend on it.
+
+    Words that come up in two batches settle, the others go whenever there are more than ``size`` of them.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+        self.settled: dict = {}
+        self.recent: dict = {}
+
+    def known(self, wanted: Iterable) -> tuple[dict, list]:
+        """The values of those words that are kept, and the other words."""
+        found, missing = {}, []
+        if len(self.settled) > self.size:
+            self.settled = {}
+        for word in wanted:
+            value = self.settled.get(word)
+            if value is None:
+                value = self.recent.pop(word, None)
+                if value is None:
+                    missing.append(word)
+                    continue
+                self.settled[word] = value
+            found[word] = value
+        return found, missing
+
+    def keep(self, fresh: dict) -> None:
+        if len(self.recent) + len(fresh) > self.size:
+            self.recent = {}
+        self.recent.update(fresh)
