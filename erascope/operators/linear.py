@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from erascope.errors import NotTrained, SingularSystem
-from erascope.operators.gram import ONE, gram, to_matrix
+from erascope.operators.gram import ONE, gram_matrix
 
 INTERCEPT = "(intercept)"
 
@@ -99,7 +99,7 @@ def fit_ols(
     """L1. Exact least squares for any number of targets; only the cross products reach the driver."""
     terms = ([ONE] if intercept else []) + list(features)
     columns = terms + list(targets)
-    matrix = to_matrix(gram(df, columns, method), len(columns))
+    matrix = gram_matrix(df, columns, method)
     k = len(terms)
     solution = solve(matrix[:k, :k], matrix[:k, k:])
     start = 1 if intercept else 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from erascope import schema as S
-from erascope.operators.gram import ONE, gram, to_matrix
+from erascope.operators.gram import ONE, gram_matrix
 from erascope.operators.linear import LinearModel, fit_ols, solve
 from erascope.operators.ordering import DEFAULT_CRITERION
 from erascope.splits import EMBARGO, EraRange, walk_forward
@@ -126,7 +126,7 @@ def eliminate(
     Returns ``(pos, feature, coefficient, t_value, p_value, selected, dropped_at)``.
     """
     columns = [ONE] + [prefix + c for c in features] + [target]
-    matrix = to_matrix(gram(attributed, columns), len(columns))
+    matrix = gram_matrix(attributed, columns)
     rows = eliminate_on_products(matrix, features, threshold)
     return attributed.sparkSession.createDataFrame(
         rows,

@@ -329,6 +329,41 @@ def tree_ctes(source: str, features: list[str], train: str, trees: HistogramTree
     return [*ctes, f"nodes{tag} AS ({' UNION ALL '.join(nodes)})", f"grown{tag} AS (SELECT * FROM r{tag}_{trees.rounds})"]
 
 
+def elimination_ctes(source: str, features: list[str], target: str = "target") -> list[str]:
+    """Backward elimination by exchange steps on the products of ``a<i>`` and the target; ends in ``report``.
+
+    An exchange step on all features turns the products into their inverse, the coefficients and the residual sum;
+    a further step on one feature takes it out again.
+    """
+    size = len(features)
+    products = " UNION ALL ".join(
+        f"SELECT {i} AS i, {j} AS j, sum({a} * {b}) AS v FROM {source}"
+        for i, a in enumerate([*features, target]) for j, b in enumerate([*features, target])
+    )
+
+    def exchange(before: str, pivot: str) -> str:
+        return f"""SELECT x.i, x.j, CASE WHEN x.i = k AND x.j = k THEN 1 / d.v WHEN x.i = k THEN x.v / d.v WHEN x.j = k THEN -x.v / d.v
+          ELSE x.v - c.v * r.v / d.v END AS v FROM {before} x, ({pivot}) p JOIN {before} d ON d.i = k AND d.j = k
+          JOIN {before} c ON c.j = k JOIN {before} r ON r.i = k WHERE c.i = x.i AND r.j = x.j"""
+
+    ctes = [f"z0 AS MATERIALIZED ({products})", f"many AS (SELECT count(*) AS n FROM {source})"]
+    for k in range(size):
+        ctes.append(f"z{k + 1} AS MATERIALIZED ({exchange(f'z{k}', f'SELECT {k} AS k')})")
+    ctes += [f"e0 AS (SELECT * FROM z{size})", f"alive0 AS (SELECT unnest(range({size})) AS k)"]
+    for s in range(size + 1):
+        ctes += [
+            f"""t{s} AS MATERIALIZED (SELECT k, b.v AS beta,
+              b.v / sqrt(greatest(q.v, 0) / ((SELECT n FROM many) - (SELECT count(*) FROM alive{s})) * d.v) AS t
+              FROM alive{s} JOIN e{s} b ON b.i = k AND b.j = {size} JOIN e{s} d ON d.i = k AND d.j = k JOIN e{s} q ON q.i = {size} AND q.j = {size})""",
+            f"worst{s} AS MATERIALIZED (SELECT k FROM t{s} WHERE t < 0 ORDER BY t, k LIMIT 1)",
+            f"alive{s + 1} AS MATERIALIZED (SELECT k FROM alive{s} WHERE k NOT IN (SELECT k FROM worst{s}))",
+            f"e{s + 1} AS MATERIALIZED ({exchange(f'e{s}', f'SELECT k FROM worst{s}')} UNION ALL SELECT * FROM e{s} WHERE NOT EXISTS (SELECT 1 FROM worst{s}))",
+        ]
+    rows = [f"SELECT k, beta, t, {s + 1} AS dropped_at FROM t{s} WHERE k IN (SELECT k FROM worst{s})" for s in range(size)]
+    rows.append(f"SELECT k, beta, t, NULL FROM t{size} WHERE t >= 0")
+    return [*ctes, f"report AS ({' UNION ALL '.join(rows)})"]
+
+
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     feats = ", ".join(EVENT_FEATURES)
@@ -715,6 +750,33 @@ def build() -> dict[str, str]:
         ),
     )
 
+    # elimination by t-values
+    beta = ", ".join(
+        f"b{i + 1}_0 * ({c} - (SELECT avg(CAST({c} AS DOUBLE)) FROM panel WHERE era BETWEEN 19 AND 26)) AS a{i}" for i, c in enumerate(EVENT_FEATURES)
+    )
+    sql["f13_normal_equations"] = query(
+        PANEL, *ols_ctes("panel", EVENT_FEATURES, where="era < 17"),
+        f"attributed AS MATERIALIZED (SELECT {beta}, CAST(target AS DOUBLE) AS target FROM panel, fit WHERE era BETWEEN 19 AND 26)",
+        *elimination_ctes("attributed", [f"a{i}" for i in range(len(EVENT_FEATURES))]),
+        select=f"SELECT CAST(k AS INTEGER) AS pos, {named('k', EVENT_FEATURES)} AS feature, {r6('beta')} AS coefficient,"
+        f" {r6('t')} AS t_value, CAST(dropped_at AS INTEGER) AS dropped_at FROM report",
+    )
+    sql["p15_subsample"] = query(
+        PANEL, "placed AS (SELECT event_id, ('0x' || substr(md5('42:' || era || ':' || id), 1, 8))::BIGINT / 4294967296.0 AS place FROM panel)",
+        select=" UNION ALL ".join(
+            f"SELECT '{f}' AS fraction, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM placed WHERE place < {1 if f is None else f}"
+            for f in (None, 0.0, 0.05, 0.25)
+        ),
+    )
+    wide_columns = ", ".join(f"(event_id * {i + 1} + feature_b) % 7 AS x{i}" for i in range(WIDE))
+    sql["a13_gram_wide"] = query(
+        PANEL, f"wide AS (SELECT {wide_columns} FROM panel)",
+        f"added AS MATERIALIZED (SELECT *, {' + '.join(f'x{i}' for i in range(WIDE))} AS s FROM wide)",
+        "sums AS (SELECT [" + ", ".join(f"sum(x{i} * s)" for i in range(WIDE)) + "] AS p, ["
+        + ", ".join(f"sum(x{i} * x{i})" for i in range(WIDE)) + "] AS q FROM added)",
+        select=f"SELECT unnest(range({WIDE}))::INTEGER AS i, unnest(p)::DOUBLE AS products, unnest(q)::DOUBLE AS squares FROM sums",
+    )
+
     # boosted trees
     few = histogram_trees(EVENT_FEATURES, preset="small", rounds=4, depth=3, rate=0.3, column_fraction=0.4)
     event_trees = [PANEL, *tree_ctes("panel", EVENT_FEATURES, "era < 17", few)]

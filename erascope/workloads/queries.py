@@ -391,7 +391,9 @@ def p15_subsample(spark, sf_dir):
     panel = event_panel(spark, sf_dir)
     return union(
         [
-            P.subsample(panel, fraction).agg(F.lit(str(fraction)).alias("fraction"), F.count(F.lit(1)).alias("n"))
+            P.subsample(panel, fraction).agg(
+                F.lit(str(fraction)).alias("fraction"), F.count(F.lit(1)).alias("n"), F.sum(F.col("id").cast("long")).alias("ids")
+            )
             for fraction in (None, 0.0, 0.05, 0.25)
         ]
     )
@@ -820,6 +822,13 @@ def f13_t_value_elimination(spark, sf_dir):
     return AttributionStrategy(EraRange(1, 27), 8, 2).report(event_panel(spark, sf_dir), EVENT_FEATURES)
 
 
+@query
+def f13_normal_equations(spark, sf_dir):
+    """Coefficients and t-values of the elimination, step by step."""
+    report = AttributionStrategy(EraRange(1, 27), 8, 2).report(event_panel(spark, sf_dir), EVENT_FEATURES)
+    return report.select("pos", "feature", rounded("coefficient").alias("coefficient"), rounded("t_value").alias("t_value"), "dropped_at")
+
+
 # ---- models
 
 
@@ -930,12 +939,26 @@ def l4_tree_presets(spark, sf_dir):
     return union(parts)
 
 
+def wide_panel(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Panel of many columns made from ids and a feature."""
+    panel = event_panel(spark, sf_dir).withColumn("n", F.col("id").cast("long"))
+    names = [f"x{i}" for i in range(WIDE)]
+    return panel.select("id", *[((F.col("n") * (i + 1) + F.col("feature_b")) % 7).alias(x) for i, x in enumerate(names)]), names
+
+
+@query
+def a13_gram_wide(spark, sf_dir):
+    """Per column its sum of squares and the sum of its products with all columns, from the tiles."""
+    wide, names = wide_panel(spark, sf_dir)
+    products = gram(wide, names)
+    both = products.select("i", "j", "value").unionByName(products.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
+    return both.groupBy("i").agg(F.sum("value").alias("products"), F.sum(F.when(F.col("i") == F.col("j"), F.col("value"))).alias("squares"))
+
+
 @query
 def l2_ols_predict_wide(spark, sf_dir):
     """A model of many columns made from ids and features; the coefficients are those of the SQL."""
-    panel = event_panel(spark, sf_dir).withColumn("n", F.col("id").cast("long"))
-    names = [f"x{i}" for i in range(WIDE)]
-    wide = panel.select("id", *[((F.col("n") * (i + 1) + F.col("feature_b")) % 7).alias(x) for i, x in enumerate(names)])
+    wide, names = wide_panel(spark, sf_dir)
     model = LinearModel(tuple(names), ("target",), (tuple((i % 11 - 5) / 8 for i in range(WIDE)),), (0.25,))
     return model.transform(wide).select("id", rounded("prediction").alias("prediction"))
 

@@ -322,6 +322,39 @@ def test_second_fit_replaces_the_scores_of_the_first(spark, tmp_path):
     assert got == [("q", "val", "corr", 4.0), ("r", "val", "corr", 2.0), ("r", "val", "mmc", 3.0)]
 
 
+def test_gram_tiles_add_up_in_small_groups(spark, monkeypatch):
+    """Bands narrower than the list, more partial tiles than one group adds up, and the matrix on the driver."""
+    import numpy as np
+
+    from erascope.operators import gram as G
+
+    monkeypatch.setattr(G, "BAND", 3)
+    monkeypatch.setattr(G, "FAN_IN", 2)
+    names = [f"x{i}" for i in range(8)]
+    values = np.random.default_rng(2).normal(size=(500, 8))
+    df = spark.createDataFrame(values.tolist(), ", ".join(f"{c} double" for c in names)).repartition(7)
+    columns = [G.ONE, *names]
+    full = np.hstack([np.ones((500, 1)), values])
+    tiles = G.gram_tiles(df, columns, max_tasks=7).collect()
+    assert sorted((t["bi"], t["bj"]) for t in tiles) == [(i, j) for i in range(3) for j in range(i, 3)]
+    np.testing.assert_allclose(G.gram_matrix(df, columns, "blocks"), full.T @ full, atol=1e-9)
+    np.testing.assert_allclose(to_matrix(gram(df, columns, "blocks", max_tasks=5), 9), full.T @ full, atol=1e-9)
+    assert not G.gram_matrix(df.limit(0), columns, "blocks").any()
+
+
+def test_subsample_is_the_same_whatever_the_partitions(spark):
+    from erascope.operators.projection import subsample
+
+    df = spark.range(5000).selectExpr("cast(id as string) as id", "cast(id % 7 as int) as era")
+
+    def drawn(rows, fraction):
+        return {r["id"] for r in subsample(rows, fraction).collect()}
+
+    assert drawn(df, 0.2) == drawn(df.repartition(9), 0.2) < drawn(df, 0.5)
+    assert {r["era"] for r in subsample(df, 0.05).collect()} == set(range(7))
+    assert subsample(df.drop("id"), 0.5).count() in (0, *range(5001))
+
+
 def test_subsample_fraction_and_repeat(spark):
     from erascope.operators.projection import subsample
 
