@@ -824,6 +824,10 @@ def build() -> dict[str, str]:
     sql["r1_streaming_counts"] = query(*event_pairs, select=upper)
     sql["r1_accumulated_counts"] = query(*event_pairs, select=upper)
     sql["r2_streaming_corr"] = query(*scores, select=f"SELECT era, {r6('corr')} AS corr FROM scores")
+    # by the time that the third batch comes, era 20 has closed the eras below 17
+    admitted = """admitted AS (SELECT * FROM panel WHERE (era <= 10 AND event_id % 2 = 0) OR (era BETWEEN 8 AND 20 AND event_id % 2 = 1)
+      OR (era >= 17 AND event_id % 2 = 0))"""
+    sql["r2_closing_eras"] = query(PANEL, admitted, *score_ctes("admitted"), select=f"SELECT era, n, {r6('corr')} AS corr FROM scores")
     sql["r3_streaming_mmc"] = query(*scores, select=f"SELECT era, {r6('mmc')} AS mmc FROM scores")
     sql["r4_streaming_payoff"] = query(*scores, select=f"SELECT era, {r6('payoff')} AS payoff FROM scores")
     sql["r5_streaming_annual_return"] = query(*scores, select=f"SELECT {r6(ANNUAL, 4)} AS annual_return FROM scores")

@@ -1178,6 +1178,18 @@ def r2_streaming_corr(spark, sf_dir):
     return streamed_scores(spark, sf_dir, ["corr"]).scores(spark).select("era", rounded("corr").alias("corr"))
 
 
+@query
+def r2_closing_eras(spark, sf_dir):
+    """Three batches of which the later ones hold rows of eras that are open, and of eras that have closed by then."""
+    panel = event_panel(spark, sf_dir)
+    odd = F.col("id").cast("long") % 2 == 1
+    stream = EraScoreStream(scratch_path(spark, "scores"), "preds_0", metrics=["corr"], closes_after=3)
+    stream.update(panel.where((F.col("era") <= 10) & ~odd), 0)
+    stream.update(panel.where(F.col("era").between(8, 20) & odd), 1)
+    stream.update(panel.where((F.col("era") > 10) & ~odd), 2)
+    return stream.scores(spark).select("era", "n", rounded("corr").alias("corr"))
+
+
 @query
 def r3_streaming_mmc(spark, sf_dir):
     return streamed_scores(spark, sf_dir, ["mmc"]).scores(spark).select("era", rounded("mmc").alias("mmc"))
