@@ -24,7 +24,8 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
-from erascope.llm.common import staged
+from erascope.llm.common import Memory, staged
 from erascope.session import scratch_path
 
 END_ID = 2
@@ -46,25 +47,28 @@ SLICE_IDS = 512  # ids of such a slice
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BATCH_LETTERS = 1 << 20  # letters that are encoded at once
-KNOWN = 300_000  # words whose ids a worker keeps; pure speed
+KNOWN = 400_000  # pieces of either kind that a worker keeps (see ``Memory``)
 
 HEADER, FOOTER = "<8sHH32s", "<qq8s"
 HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER), struct.calcsize(FOOTER)
 MAGIC, VERSION = b"TOKENIDS", 1
 
-# A space begins a word unless it stands behind white space.
-ODD_SPACE = re.compile(r"\s |\s\Z")
+# The byte-level rule always cuts before a space that stands behind a letter.
 WORD_START = re.compile(r"(?<=\S)(?= )")
 # Letters whose kind has never changed, and the byte-level rule for cutting them (fixed value, on these letters).
 PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
 PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+")
+PRINTABLE = re.compile("[ -~]*")
+# The letter that stands for each byte in a byte-level vocabulary (fixed value): printable Latin-1 as it is, the rest from U+0100 on.
+AS_IT_IS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {byte: chr(256 + i) for i, byte in enumerate(b for b in range(256) if b not in AS_IT_IS)}
+SPACE = LETTERS[32]
 
 
 class IdEncoder:
     """Ids of texts as little-endian bytes, by the tokenizers library, which encodes each distinct piece of text once.
 
-    The byte-level rule always cuts before a space that stands behind a letter, so texts are cut there and what is
-    between is looked up. Tokenizers with other rules encode whole texts.
+    Tokenizers with other rules than the byte-level one encode whole texts.
     """
 
     def __init__(self, content: str):
@@ -74,48 +78,59 @@ class IdEncoder:
         self.tokenizer.no_padding()
         parts = json.loads(content)
         rule = parts.get("pre_tokenizer") or {}
-        self.cuts = rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space", True)
-        self.cuts = self.cuts and not parts.get("normalizer") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in parts["added_tokens"])
-        self.special = [t["content"] for t in parts["added_tokens"]]
-        self.width = id_width(content)
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # words without the space before them
+        added = parts["added_tokens"]
+        self.cuts = (
+            rule.get("type") == "ByteLevel" and rule.get("use_regex", True) and not rule.get("add_prefix_space", True)
+            and not parts.get("normalizer") and not parts["model"].get("dropout") and parts["model"]["type"] == "BPE"
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
+        )
+        self.marks = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+        self.kind = f"<u{id_width(content)}"
+        self.code = {2: "H", 4: "I"}[id_width(content)]
+        self.pieces = Memory(KNOWN)
+        if self.cuts:
+            # the library's own model, for pieces that are cut already
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in parts["model"]["merges"]]
+            self.model = models.BPE(parts["model"]["vocab"], merges, cache_capacity=0)
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def cut(self, chunk: str) -> list[str]:
-        """Pieces that are encoded apart; a special token keeps its chunk whole."""
-        if PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.special):
-            return PIECES.findall(chunk)
-        return [chunk] if chunk else []
-
-    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        found = {c: self.cut(c) for c in chunks}
-        fresh = list({p for ps in found.values() for p in ps} - self.pieces.keys())
-        self.pieces.update(zip(fresh, self.ids(fresh), strict=True))
-        return {c: b"".join([self.pieces[p] for p in ps]) for c, ps in found.items()}
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece that no rule cuts any further and that holds no special token."""
+        letters = text.replace(" ", SPACE) if PRINTABLE.fullmatch(text) else text.encode().decode("latin-1").translate(LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces of a text that are encoded apart.
+
+        Texts of plain letters are cut by the rule. Others are cut before the spaces where the rule always cuts, and what is
+        between is a piece of its own unless its letters are plain; so is what holds a special token.
+        """
+        if self.plain(text):
+            return PIECES.findall(text)
+        pieces: list[str] = []
+        for chunk in WORD_START.split(text):
+            if self.plain(chunk):
+                pieces += PIECES.findall(chunk)
+            else:
+                pieces.append(chunk)
+        return pieces
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not (self.marks and self.marks.search(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.ids(texts)
-        split = [None if ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        odd = {i: WORD_START.split(t) for i, t in enumerate(texts) if split[i] is None}
-        words = {w for s in split if s for w in s[1:]}
-        fresh = self.learn([" " + w for w in words - self.words.keys()])
-        self.words.update((c[1:], v) for c, v in fresh.items())
-        whole = self.learn({c for s in odd.values() for c in s} | {s[0] for s in split if s})
-        known = self.words
-        rows = [
-            b"".join([whole[c] for c in odd[i]]) if s is None else whole[s[0]] + b"".join([known[w] for w in s[1:]])
-            for i, s in enumerate(split)
-        ]
-        if len(self.words) > KNOWN:
-            self.words.clear()
-        if len(self.pieces) > KNOWN:
-            self.pieces.clear()
-        return rows
+        split = [self.cut(t) for t in texts]
+        known, missing = self.pieces.known({p for ps in split for p in ps})
+        whole = [p for p in missing if not self.plain(p)]
+        fresh = dict(zip(whole, self.ids(whole), strict=True))
+        fresh.update((p, self.piece(p)) for p in missing if p not in fresh)
+        self.pieces.keep(fresh)
+        known |= fresh
+        return [b"".join([known[p] for p in ps]) for ps in split]
 
 
 def id_width(content: str) -> int:

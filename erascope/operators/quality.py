@@ -15,6 +15,11 @@ from erascope.errors import PanelCheckFailed
 
 def special_eras(panel: DataFrame, benchmark_column: str | None = None) -> DataFrame:
     """A1. One row with the first era of each kind of data, in one aggregate over a few columns."""
+    return panel.agg(F.lit(S.FIRST_ERA).alias("train"), *special_era_columns(panel, benchmark_column))
+
+
+def special_era_columns(panel: DataFrame, benchmark_column: str | None = None) -> list[Column]:
+    """A1. The aggregates of ``special_eras`` that look at the rows; also fit to be observed while the panel is written."""
     columns = S.PanelColumns.of(panel)
     marker = benchmark_column or (
         S.BENCHMARK_START_COLUMN if S.BENCHMARK_START_COLUMN in columns.benchmarks else columns.benchmarks[0]
@@ -24,14 +29,13 @@ def special_eras(panel: DataFrame, benchmark_column: str | None = None) -> DataF
     def first_era(condition: Column) -> Column:
         return F.min(F.when(condition, era))
 
-    return panel.agg(
-        F.lit(S.FIRST_ERA).alias("train"),
+    return [
         first_era(F.col(marker).isNotNull()).alias("benchmark"),
         first_era(F.col(S.DATA_TYPE) == "validation").alias("validation"),
         first_era(F.col(columns.meta).isNotNull()).alias("metamodel"),
         first_era(F.col(S.DATA_TYPE) == "test").alias("test"),
         F.max(era).alias("live"),
-    )
+    ]
 
 
 def eras_as_dict(eras: DataFrame) -> dict[str, int]:

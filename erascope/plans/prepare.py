@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from erascope import schema as S
 from erascope.operators.joins import join_parts
@@ -15,9 +16,10 @@ from erascope.operators.projection import (
     normalise_types,
     relabel_live,
 )
-from erascope.operators.quality import check_report, eras_as_dict, require_clean, special_eras
+from erascope.operators.quality import check_report, eras_as_dict, require_clean, special_era_columns
 from erascope.session import scratch_path
-from erascope.sources.catalogue import copy_feature_sets, read_eras, write_eras
+from erascope.sources.catalogue import ERAS_SCHEMA, copy_feature_sets, read_eras, write_eras
+from erascope.sources.files import discard
 from erascope.sources.panel import (
     RawParts,
     current_version,
@@ -26,6 +28,7 @@ from erascope.sources.panel import (
     publish_version,
     scan_panel,
     scan_raw,
+    write_changed_eras,
     write_panel,
 )
 
@@ -42,31 +45,59 @@ def prepare_panel(
 ) -> DataFrame:
     """J5. Build, describe, fill, check and write a panel; returns the check report.
 
-    The joined panel is written once to a staging folder, so that the joins run once and not again for
-    the era catalogue, the checks and the final write. Nothing is done when ``data_dir`` is complete.
+    Nothing is done when ``data_dir`` is complete.
     """
     if is_complete(spark, data_dir) and not overwrite:
         return check_report(scan_panel(spark, data_dir), eras_as_dict(read_eras(spark, data_dir)))
+    ready = checked_panel(spark, raw_dir, strict)
+    write_eras(spark.createDataFrame([ready.eras], ERAS_SCHEMA), data_dir)
+    copy_feature_sets(spark, raw_dir, data_dir)
+    write_panel(ready.panel, data_dir)
+    discard(spark, ready.staging)
+    return ready.report
+
+
+@dataclass(frozen=True)
+class CheckedPanel:
+    """A panel that reads the folder ``staging``, its era catalogue and its report, which is kept as rows."""
+
+    panel: DataFrame
+    eras: dict[str, int]
+    report: DataFrame
+    staging: str
+
+
+def checked_panel(spark: SparkSession, raw_dir: str, strict: bool = True) -> CheckedPanel:
+    """J5. The joined, filled and checked panel.
+
+    The joins run once, for a staging folder; the era catalogue is observed while it is written. The checks read it
+    once and whoever writes the panel once more.
+    """
     staging = scratch_path(spark, "staging")
-    build_panel(scan_raw(spark, raw_dir)).write.parquet(staging)
-    staged = spark.read.parquet(staging)
-    catalogue = special_eras(staged)
-    eras = eras_as_dict(catalogue)
-    filled = fill_missing(staged, default_fill_rules(eras))
-    report = check_report(filled, eras)
+    built = build_panel(scan_raw(spark, raw_dir))
+    seen = Observation()
+    built.observe(seen, *special_era_columns(built)).write.parquet(staging)
+    eras = {"train": S.FIRST_ERA, **seen.get}
+    filled = fill_missing(spark.read.parquet(staging), default_fill_rules(eras))
+    rules = check_report(filled, eras)
+    report = spark.createDataFrame(rules.collect(), rules.schema)
     if strict:
         require_clean(report)
-    write_eras(spark.createDataFrame([eras], catalogue.schema), data_dir)
-    copy_feature_sets(spark, raw_dir, data_dir)
-    write_panel(filled, data_dir)
-    return report
+    return CheckedPanel(filled, eras, report, staging)
 
 
 def rebuild_panel(spark: SparkSession, raw_dir: str, root: str, strict: bool = True) -> str:
-    """S8. Prepare a new version below ``root`` and publish it; the previous versions stay readable."""
-    target = new_version(spark, root)
-    prepare_panel(spark, raw_dir, target, strict)
+    """S8. Prepare a new version below ``root`` and publish it; the previous versions stay readable.
+
+    Only eras whose rows have changed are written; the manifest of the version points to the older folders of the others.
+    """
+    target, previous = new_version(spark, root), current_version(spark, root)
+    ready = checked_panel(spark, raw_dir, strict)
+    write_eras(spark.createDataFrame([ready.eras], ERAS_SCHEMA), target)
+    copy_feature_sets(spark, raw_dir, target)
+    write_changed_eras(ready.panel, target, previous)
     publish_version(spark, target)
+    discard(spark, ready.staging)
     return target
 
 

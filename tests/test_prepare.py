@@ -11,6 +11,7 @@ from erascope.plans.prepare import build_panel, prepare_panel, rebuild_panel, sc
 from erascope.session import scratch_path, shared_dir
 from erascope.sources import catalogue as C
 from erascope.sources import panel as IO
+from erascope.sources.files import child_names
 from erascope.splits import EraRange, Splits, resolve_range, walk_forward
 from erascope.workloads.queries import lazy_parts
 from erascope.workloads.tables import EVENT_FEATURES, event_panel, write_raw
@@ -60,6 +61,39 @@ def test_prepare_writes_once_and_versions(spark):
     assert "PartitionFilters: [isnotnull(era" in plan and "ReadSchema: struct<id:string>" in plan
 
 
+def test_rebuild_writes_changed_eras_only(spark):
+    raw, root = scratch_path(spark, "raw"), scratch_path(spark, "versions")
+    write_raw(spark, SMALL, raw)
+    first = rebuild_panel(spark, raw, root)
+    before = sorted(map(tuple, scan_current(spark, root).select(*sorted(scan_current(spark, root).columns)).collect()), key=repr)
+    # one row of one era changes in the raw part
+    train = spark.read.parquet(f"{raw}/train.parquet")
+    one = train.where("era = '0007'").agg(F.min("id")).first()[0]
+    changed = train.withColumn("feature_a", F.when(F.col("id") == one, F.lit(4) - F.col("feature_a")).otherwise(F.col("feature_a")).cast("tinyint"))
+    other = scratch_path(spark, "raw")
+    write_raw(spark, SMALL, other)
+    changed.write.mode("overwrite").parquet(f"{other}/train.parquet")
+    second = rebuild_panel(spark, other, root)
+    assert [n for n in child_names(spark, f"{second}/{IO.PANEL_FILE}") if n.startswith("era=")] == ["era=7"]
+    assert IO.scan_panel(spark, second).count() == 1000
+    assert IO.scan_panel(spark, second).where(F.col("id") == one).first()["feature_a"] == 4 - IO.scan_panel(spark, first).where(F.col("id") == one).first()["feature_a"]
+    old = IO.scan_panel(spark, first)
+    assert sorted(map(tuple, old.select(*sorted(old.columns)).collect()), key=repr) == before
+    third = rebuild_panel(spark, other, root)
+    assert not [n for n in child_names(spark, f"{third}/{IO.PANEL_FILE}") if n.startswith("era=")]
+    assert IO.scan_panel(spark, third).exceptAll(IO.scan_panel(spark, second)).isEmpty()
+
+
+def test_report_is_kept_and_staging_removed(spark):
+    raw, data = scratch_path(spark, "raw"), scratch_path(spark, "panel")
+    write_raw(spark, SMALL, raw)
+    staged = [n for n in child_names(spark, shared_dir(spark)) if n.startswith("staging")]
+    report = prepare_panel(spark, raw, data)
+    assert "FileScan" not in report._jdf.queryExecution().executedPlan().toString() and report.count() > 10
+    assert [n for n in child_names(spark, shared_dir(spark)) if n.startswith("staging")] == staged
+    assert Q.eras_as_dict(C.read_eras(spark, data)) == ERAS
+
+
 def test_scan_current_without_a_version(spark):
     with pytest.raises(FileNotFoundError):
         scan_current(spark, scratch_path(spark, "none"))
