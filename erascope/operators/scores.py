@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ PAYOUT_FACTOR = 0.1
 
 METRICS = ("corr", "mmc", "payoff")
 RANGE_BLOCK = 1_000_000
+# States of user scores are merged in groups of so many tasks, then of so many groups, then all.
+MERGE_STEPS = (16, 16, None)
 
 
 def corr_of(target_power: Column, preds_power: Column) -> Column:
@@ -363,8 +366,6 @@ def erawise_pandas(
     era_type = df.schema[era].dataType.simpleString()
 
     def score_one(key, pdf):
-        import pandas as pd
-
         value = score(pdf["t"].to_numpy(), pdf["p"].to_numpy(), pdf["m"].to_numpy())
         return pd.DataFrame({"era": [key[0]], "score": [float(value)]})
 
@@ -374,11 +375,86 @@ def erawise_pandas(
     return scored.select(F.col("era").alias(era), F.col("score").alias(label))
 
 
+@dataclass(frozen=True)
+class MergeableScore:
+    """U1. A user score in four functions, for arrays of any era size.
+
+    ``start()`` gives an empty state, ``add(state, t, p, m)`` takes in the arrays of a batch of rows of one era,
+    ``merge(a, b)`` joins two states of the same era, ``finish(state)`` gives the score. States are pickled between tasks and
+    should not grow with the rows; the order of rows and of merges is open.
+    """
+
+    start: Callable
+    add: Callable
+    merge: Callable
+    finish: Callable
+    __name__: str = "score"
+
+
+def erawise_mergeable(
+    df: DataFrame,
+    score: MergeableScore,
+    preds: str | Sequence[str],
+    target: str = "target",
+    meta: str | None = "meta",
+    era: str = "era",
+    name: str | None = None,
+    strategy: str = "auto",
+    hot_rows: int = HOT_GROUP_ROWS,
+) -> DataFrame:
+    """U1. User score per era from a ``MergeableScore``, with the same values as in ``erawise``.
+
+    Each task adds its Arrow batches to one state per era, and states are merged by a tree of groups: a task holds a batch
+    and states, never an era.
+    """
+    columns = _as_list(preds)
+    part, meta_column = _meta_or_nan(df, meta)
+    kind = df.schema[era].dataType.simpleString()
+    states = f"era {kind}, part int, state binary"
+
+    def begin(batches):
+        import pickle
+
+        from pyspark import TaskContext
+
+        held: dict = {}
+        for batch in batches:
+            for key, rows in batch.groupby("era", sort=False):
+                state = held[key] if key in held else score.start()
+                held[key] = score.add(state, rows["t"].to_numpy(), rows["p"].to_numpy(), rows["m"].to_numpy())
+        part_id = TaskContext.get().partitionId()
+        yield pd.DataFrame({"era": list(held), "part": part_id, "state": [pickle.dumps(s) for s in held.values()]})
+
+    def join(key, pdf):
+        import pickle
+
+        return pd.DataFrame({"era": [key[0]], "part": [key[1]], "state": [pickle.dumps(reduce(score.merge, map(pickle.loads, pdf["state"])))]})
+
+    def end(batches):
+        import pickle
+
+        for batch in batches:
+            yield pd.DataFrame({"era": batch["era"], "score": [float(score.finish(pickle.loads(s))) for s in batch["state"]]})
+
+    def build(group: DataFrame, how: str, small: bool) -> DataFrame:
+        scored = scoring_columns(group, columns, target, meta_column, [era], how, small)
+        rows = scored.select(F.col(era).alias("era"), "t", "p", F.col("raw_meta").alias("m"))
+        found = rows.mapInPandas(begin, states)
+        for step in MERGE_STEPS:
+            few = (F.floor(F.col("part") / step).cast("int") if step else F.lit(0)).alias("part")
+            found = found.groupBy("era", few).applyInPandas(join, states)
+        done = found.select("era", "state").mapInPandas(end, f"era {kind}, score double")
+        return done.select(F.col("era").alias(era), F.col("score").alias(name or score.__name__))
+
+    return per_group(part.where(F.col(era).isNotNull()), [era], strategy, build, hot_rows)
+
+
 @dataclass(frozen=True)
 class UserScore:
     """U1. A user metric: a score per era and the aggregate over eras (A14 unless given).
 
-    ``score`` takes Columns of (target, preds, meta) and is an aggregate, or numpy arrays if ``arrays`` is set.
+    ``score`` takes Columns of (target, preds, meta) and is an aggregate, or numpy arrays if ``arrays`` is set, or
+    is a ``MergeableScore``.
     """
 
     score: Callable
@@ -392,7 +468,8 @@ class UserScore:
     def value(self, df: DataFrame, preds, target: str = "target", meta: str | None = "meta", era: str = "era", strategy: str = "auto") -> DataFrame:
         """One row with the column ``value``."""
         options = {"name": "score"} if self.arrays else {"name": "score", "strategy": strategy}
-        per_era = (erawise_pandas if self.arrays else erawise)(df, self.score, preds, target, meta, era, **options)
+        scored = erawise_mergeable if isinstance(self.score, MergeableScore) else erawise_pandas if self.arrays else erawise
+        per_era = scored(df, self.score, preds, target, meta, era, **options)
         return per_era.agg(self.over_eras("score").alias("value"))
 
 

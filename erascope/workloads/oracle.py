@@ -845,6 +845,7 @@ def build() -> dict[str, str]:
     plain = [*scores[:3]]
     sql["u1_user_score"] = query(*plain, select=f"SELECT era, {r6(pearson)} AS pearson FROM normals GROUP BY era")
     sql["u1_user_score_arrays"] = sql["u1_user_score"]
+    sql["u1_user_score_mergeable"] = sql["u1_user_score"]
     sql["u1_user_score_meta"] = query(*plain, select=f"SELECT era, {r6('avg(raw * p) + avg(t)')} AS shared FROM normals GROUP BY era")
     sql["u1_user_score_meta_arrays"] = sql["u1_user_score_meta"]
     sql["u1_user_score_compounded"] = query(

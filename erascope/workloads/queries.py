@@ -1262,6 +1262,34 @@ def u1_user_score_arrays(spark, sf_dir):
     return per_era.select("era", rounded("pearson").alias("pearson"))
 
 
+def pearson_in_parts() -> M.MergeableScore:
+    """Pearson correlation of target and predictions from sums of batches, means and products centred as in a variance merge."""
+
+    def add(state, t, p, m):
+        n, st, sp = len(t), t.mean(), p.mean()
+        return merge(state, (n, st, sp, ((t - st) ** 2).sum(), ((p - sp) ** 2).sum(), ((t - st) * (p - sp)).sum()))
+
+    def merge(a, b):
+        n = a[0] + b[0]
+        if not a[0] or not b[0]:
+            return a if a[0] else b
+        dt, dp, both = b[1] - a[1], b[2] - a[2], a[0] * b[0] / n
+        return (
+            n, a[1] + dt * b[0] / n, a[2] + dp * b[0] / n, a[3] + b[3] + dt * dt * both, a[4] + b[4] + dp * dp * both, a[5] + b[5] + dt * dp * both,
+        )
+
+    def finish(state):
+        return state[5] / (state[3] * state[4]) ** 0.5
+
+    return M.MergeableScore(lambda: (0, 0.0, 0.0, 0.0, 0.0, 0.0), add, merge, finish, "pearson")
+
+
+@query
+def u1_user_score_mergeable(spark, sf_dir):
+    per_era = M.erawise_mergeable(event_panel(spark, sf_dir), pearson_in_parts(), "preds_0")
+    return per_era.select("era", rounded("pearson").alias("pearson"))
+
+
 @query
 def u2_user_model(spark, sf_dir):
     class WeightedSum:

@@ -5,11 +5,13 @@ import numpy as np
 import pandas as pd
 import pytest
 import reference_math as R
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from erascope.operators import eras as E
 from erascope.operators import scores as M
 from erascope.plans.training import evaluate_predictions
+from erascope.workloads.tables import event_panel
 
 SEEDS = 100
 
@@ -224,3 +226,29 @@ def test_rows_without_an_era_take_no_part(spark):
         a = M.era_scores(df.unionByName(extra), "preds", strategy=how).orderBy("era").toPandas()
         b = M.era_scores(df, "preds", strategy=how).orderBy("era").toPandas()
         assert a.equals(b)
+
+
+def test_mergeable_user_score_of_a_hot_era(spark):
+    """An era with a third of the rows: it comes in batches, is added up in parts, and the score is erawise's."""
+    from erascope.workloads.queries import pearson_in_parts
+
+    panel = event_panel(spark, SMALL).withColumn("era", F.when(F.col("era") <= 10, 1).otherwise(F.col("era"))).repartition(12)
+    score = pearson_in_parts()
+    want = {r["era"]: r["c"] for r in M.erawise(panel, lambda t, p, m: F.corr(t, p), "preds_0", name="c").collect()}
+    calls = spark.sparkContext.accumulator(0)
+
+    def add(state, t, p, m):
+        assert len(t) <= 50
+        calls.add(1)
+        return score.add(state, t, p, m)
+
+    counted = M.MergeableScore(score.start, add, score.merge, score.finish, "pearson")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    for strategy, hot in (("auto", 50), ("prefix", 50), ("window", 8_000_000)):
+        got = {r["era"]: r["pearson"] for r in M.erawise_mergeable(panel, counted, "preds_0", strategy=strategy, hot_rows=hot).collect()}
+        assert got.keys() == want.keys() and all(abs(got[e] - want[e]) < 1e-9 for e in want)
+    assert calls.value > 3 * len(want) + 10
+    value = M.UserScore(counted).value(panel, "preds_0").first()["value"]
+    assert abs(value - sum(want.values()) / len(want)) < 1e-9
+    assert M.erawise_mergeable(panel.limit(0), counted, "preds_0").collect() == []
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
