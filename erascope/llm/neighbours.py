@@ -113,19 +113,25 @@ class Block:
         return rows[hamming(self.codes[rows], code) <= radius]
 
 
+FOUND = ["query_id", "key", "asked", "vec_id", "score", "times"]
+
+
 def search(codes: Codes, settings: Settings, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """The best rows of one block for every query of one chunk."""
-    ids = index["vec_id"].to_numpy()
+    """The best distinct rows of one block for every query of one chunk, with the times that each may be taken."""
+    ids, keys = index["vec_id"].to_numpy(), index["key"].to_numpy()
+    copies = index["copies"].to_numpy()
     rows = np.stack(index["vector"].to_list()).astype(np.float64)
     size = np.sqrt((rows * rows).sum(axis=1))
     block = Block(encode(codes, rows))
     asked = np.stack(queries["vector"].to_list()).astype(np.float64)
     answers = []
-    for query, key, vector, code in zip(queries["query_id"], queries["key"], asked, encode(codes, asked), strict=True):
+    for query, key, rows_asked, vector, code in zip(queries["query_id"], queries["key"], queries["asked"], asked, encode(codes, asked), strict=True):
         radius = codes.radius
+        # of the row itself only its further copies are candidates
+        times = np.where((ids == query) & (keys == key), copies - 1, copies)
         while True:
             found = block.within(code, radius)
-            found = found[ids[found] != query]
+            found = found[times[found] > 0]
             if len(found) >= settings.neighbours or radius >= BITS:
                 break
             radius += PARTS  # too few in the block: look further out, in the end everywhere
@@ -135,16 +141,17 @@ def search(codes: Codes, settings: Settings, index: pd.DataFrame, queries: pd.Da
             last = np.partition(score, len(score) - settings.neighbours)[len(score) - settings.neighbours]
             found, score = found[score >= last], score[score >= last]
         best = np.lexsort((ids[found], -score))[: settings.neighbours]
-        answers += [(query, key, int(ids[found[b]]), float(score[b])) for b in best]
-    return pd.DataFrame(answers, columns=["query_id", "key", "vec_id", "score"])
+        answers += [(query, key, rows_asked, int(ids[found[b]]), float(score[b]), min(int(times[found[b]]), settings.neighbours)) for b in best]
+    return pd.DataFrame(answers, columns=FOUND)
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, settings: Settings = Settings()) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest rows of each row for which ``is_query`` holds.
 
     ``vectors`` has ``vec_id`` and ``embedding``. Ranks go by falling cosine, then by id. Rows with a null id, unusable vectors
-    and those whose length is not the most frequent one take no part; rows that repeat id and vector count
-    once; a row never finds rows of its own id. Fewer candidates than asked for give fewer rows.
+    and those whose length is not the most frequent one take no part, as a cosine needs equal lengths. All other rows but
+    the query's own are candidates, also those with its id or vector; rows that repeat id and vector are each found and
+    each have their answers. Fewer candidates than asked for give fewer rows.
     """
     spark = vectors.sparkSession
     vector = F.col("embedding")
@@ -167,21 +174,24 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, settings: Settings
 
     blocks, chunks = -(-total // settings.block_rows), -(-asked // settings.chunk_rows)
     key = F.xxhash64("vec_id", "vector")
-    distinct = rows.groupBy("vec_id", "vector").agg(F.bool_or("asked").alias("asked")).withColumn("key", key)
+    distinct = rows.groupBy("vec_id", "vector").agg(F.count_if("asked").alias("asked"), F.count(F.lit(1)).alias("copies")).withColumn("key", key)
     block, chunk = F.pmod("key", F.lit(blocks)).cast("int"), F.pmod(F.shiftright("key", 20), F.lit(chunks)).cast("int")
-    index = distinct.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "vector")
-    queries = distinct.filter("asked").select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), chunk.alias("chunk"), F.col("vec_id").alias("query_id"), "key", "vector"
+    index = distinct.select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "vec_id", "key", "copies", "vector")
+    queries = distinct.filter("asked > 0").select(
+        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), chunk.alias("chunk"), F.col("vec_id").alias("query_id"), "key", "asked", "vector"
     )
 
     def run(some: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if some.empty or others.empty:
-            return pd.DataFrame({"query_id": [], "key": [], "vec_id": [], "score": []})
+            return pd.DataFrame({c: [] for c in FOUND})
         return search(codes.value, settings, some, others)
 
     found = index.groupBy("block", "chunk").cogroup(queries.groupBy("block", "chunk")).applyInPandas(
-        run, "query_id long, key long, vec_id long, score double"
+        run, "query_id long, key long, asked long, vec_id long, score double, times int"
     )
+    # each block gives at most the wanted number of distinct rows, each at most so many times
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.neighbours)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    each = ranked.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("asked").cast("int"))))
+    return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

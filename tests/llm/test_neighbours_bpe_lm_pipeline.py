@@ -67,13 +67,29 @@ def test_blocks_and_chunks_do_not_lose_neighbours(spark):
     assert parts.keys() == whole.keys() and all(parts[k] >= whole[k] - 1e-12 for k in whole)
 
 
+def test_repeated_ids_and_rows_are_candidates(spark):
+    """Only the query's own row is none: against every other row, by brute force."""
+    rng = np.random.default_rng(4)
+    pool = rng.normal(size=(6, 4))
+    rows = [(int(rng.integers(0, 5)), pool[rng.integers(0, 6)].tolist()) for _ in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in neighbours.nearest_neighbours(frame, F.col("vec_id") == 0, neighbours.Settings(block_rows=9, chunk_rows=2)).collect())
+    want = []
+    for i, (name, v) in enumerate(rows):
+        if name == 0:
+            others = [(-round(float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)), 9), n) for j, (n, w) in enumerate(rows) if j != i]
+            want += [(0, k + 1, n, -c) for k, (c, n) in enumerate(sorted(others)[:5])]
+    assert [(q, r, n, round(c, 9) + 0.0) for q, r, n, c in got] == [(q, r, n, c + 0.0) for q, r, n, c in sorted(want)]
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0]), (1, [2.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, None), (5, [0.0, 0.0, 0.0])]
     rows += [(6, [nan, 1.0, 0.0]), (7, [inf, 1.0, 0.0]), (8, [None, 1.0, 0.0]), (9, [1.0, 0.0]), (None, [1.0, 1.0, 0.0]), (10, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit("x")).withColumn("key", F.lit("x"))
     got = [tuple(r) for r in neighbours.nearest_neighbours(frame, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 3, 0.0)]
+    # both rows of id 0 ask, and each finds the other one
+    assert sorted(got) == sorted(2 * [(0, 1, 0, 1.0), (0, 2, 1, 1.0), (0, 3, 2, 1.0), (0, 4, 3, 0.0)])
     assert neighbours.nearest_neighbours(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert neighbours.nearest_neighbours(frame.filter("vec_id = 0").dropDuplicates(["vec_id"]), F.lit(True)).count() == 0
 
