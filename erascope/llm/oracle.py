@@ -8,7 +8,7 @@ from erascope.llm.urls import all_rules
 MIX = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS place
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source
@@ -29,17 +29,22 @@ WITH d AS (
          target - CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END * source_size AS rest
   FROM t
 ), h AS (
-  SELECT source, place, sum(size) AS words FROM d GROUP BY ALL
+  SELECT source, place, sum(size) AS words, count(*) AS copies FROM d GROUP BY ALL
 ), c AS (
   SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place) AS passed FROM h
 ), e AS (
-  SELECT c.source, c.place,
-         passes + CASE WHEN passed <= rest OR (passed - words <= rest AND (rest - (passed - words)) * 2 > words) THEN 1 ELSE 0 END AS times
+  SELECT c.source, c.place, passes,
+         CASE WHEN passed <= rest THEN copies WHEN passed - words >= rest THEN 0
+              ELSE floor((rest - (passed - words)) * copies / words)
+                   + CASE WHEN ((rest - (passed - words)) * copies / words) - floor((rest - (passed - words)) * copies / words) > 0.5 THEN 1 ELSE 0 END END AS more
   FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source, place) AS nth FROM d
 )
-SELECT doc_id, d.size, p.source_size, p.target::DOUBLE AS target, (d.size * least(e.times, 2))::BIGINT AS taken
-FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-JOIN e ON e.source IS NOT DISTINCT FROM d.source AND e.place = d.place
+SELECT doc_id, n.size, p.source_size, p.target::DOUBLE AS target,
+       (n.size * least(e.passes + CASE WHEN nth <= more THEN 1 ELSE 0 END, 2))::BIGINT AS taken
+FROM n JOIN p ON n.source IS NOT DISTINCT FROM p.source
+JOIN e ON e.source IS NOT DISTINCT FROM n.source AND e.place = n.place
 """
 
 

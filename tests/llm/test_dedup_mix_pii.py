@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SMALL
-from llm_tables import clashing, none, odd, rows_of  # noqa: F401
+from llm_tables import DOCUMENTS, WORDS, clashing, none, odd, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
 from erascope.llm import fingerprints, graph, mixture, pii, simhash
@@ -220,6 +220,28 @@ def test_mix_matches_its_sql(spark):
     assert sorted(tuple(r) for r in mixture.mix(table(spark, SMALL, "documents")).collect()) == want
 
 
+def test_mix_with_null_ids_and_repeated_rows_meets_its_targets(spark):
+    """Two thirds of the ids are null, and a third of all rows are one row: both sources come near their targets."""
+    rng = random.Random(5)
+    rows = [(i if i % 3 == 0 else None, " ".join(rng.choice(WORDS) for _ in range(rng.randint(20, 60))), "en", "a", 0) for i in range(300)]
+    rows += [(7, " ".join(WORDS * 3), "en", "b", 0)] * 150 + [(1000 + i, " ".join(rng.choice(WORDS) for _ in range(30)), "en", "b", 0) for i in range(50)]
+    docs = spark.createDataFrame(rows, DOCUMENTS)
+    mixed = mixture.mix(docs).collect()
+    for source_size, target in {(r["source_size"], r["target"]) for r in mixed}:
+        taken = [r["taken"] for r in mixed if r["source_size"] == source_size]
+        assert abs(sum(taken) - target) <= 30
+    assert all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in mixed)
+    connection = duckdb.connect()
+    connection.register("documents", docs.toArrow())
+    assert Counter(connection.execute(build()["op4_source_mix"]).fetchall()) == Counter(map(tuple, mixed))
+    counted = Counter(r["text"] for r in mixture.take(docs.repartition(5)).select("text").collect())
+    sizes = Counter()
+    for r in mixture.take(docs).select("source", "text").collect():
+        sizes[r["source"]] += len(r["text"].split())
+    targets = {("a" if r["source_size"] != 150 * 48 + 50 * 30 else "b"): r["target"] for r in mixed}
+    assert sum(counted.values()) > 0 and all(abs(sizes[k] - targets[k]) <= 30 for k in targets)
+
+
 def test_taken_documents_follow_the_mix(odd, none, clashing):
     rows = mixture.take(clashing)
     assert rows.columns == clashing.columns
