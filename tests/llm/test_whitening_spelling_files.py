@@ -237,7 +237,7 @@ ODD_TEXTS = [
 def test_encoder_equals_the_library(library):
     with open(BYTES, encoding="utf-8") as file:
         encoder = token_files.IdEncoder(file.read())
-    assert encoder.cuts and encoder.width == 2
+    assert encoder.cuts and encoder.kind == "<u2"
     rng = random.Random(1)
     texts = ODD_TEXTS + ["".join(rng.choice(" \n\t'as1.,é²x  日") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
