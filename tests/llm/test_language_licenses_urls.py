@@ -154,7 +154,7 @@ def test_urls_match_brute_force(spark):
 
 def test_rules_are_filed_under_their_rarest_token():
     rules = [urls.base_rule("example.net/en/", "allow"), urls.pattern_rule("/ads/*/banner^")]
-    index = urls.RuleIndex(rules, {"example": 100, "net": 90, "en": 5, "ads": 3})
+    index = urls.RuleIndex(rules, {"example": 100, "net": 90, "en": 5, "ads": 3, "banner": 4})
     assert set(index.by_token) == {"en", "ads"} and not index.always
     assert urls.pattern_rule("banner*").tokens == () and urls.RuleIndex([urls.pattern_rule("banner*")], {}).judge("http://a/xbanner1")[3] == "block"
 
