@@ -516,6 +516,9 @@ def build() -> dict[str, str]:
     sql["j3_meta_join"] = query(
         PANEL, RAW, select=f"SELECT id, label AS era, data_type, meta_value AS {META_COLUMN} FROM raw"
     )
+    sql["j2_bucketed_joins"] = query(
+        PANEL, RAW, select=f"SELECT id, label AS era, data_type, benchmark, meta_value AS {META_COLUMN} FROM raw"
+    )
     sql["j4_panel_build"] = query(PANEL, RAW, select=panel_digest("raw"))
     sql["j5_prepare"] = query(PANEL, RAW, FILLED, select=panel_digest("filled"))
 

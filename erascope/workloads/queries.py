@@ -56,6 +56,7 @@ from erascope.plans.training import (
 from erascope.session import scratch_path
 from erascope.sources import catalogue as C
 from erascope.sources import panel as S
+from erascope.sources.bucketed import bucket_parts
 from erascope.sources.runs import RunStore, best_run, flatten_json
 from erascope.splits import EraRange, Splits, walk_forward
 from erascope.streaming.counts import accumulate_pair_counts, accumulated_counts, pair_count_stream
@@ -424,6 +425,15 @@ def j3_meta_join(spark, sf_dir):
     return joined.select("id", "era", "data_type", F.col(META_COLUMN).cast("float").alias(META_COLUMN))
 
 
+@query
+def j2_bucketed_joins(spark, sf_dir):
+    """Both joins over parts that are kept in buckets by id."""
+    joined = bucket_parts(lazy_parts(spark, sf_dir), buckets=8).joined(spark)
+    return joined.select(
+        "id", "era", "data_type", F.col("v5_lgbm_cyrusd20").cast("float").alias("benchmark"), F.col(META_COLUMN).cast("float").alias(META_COLUMN)
+    )
+
+
 @query
 def j4_panel_build(spark, sf_dir):
     return panel_digest(build_panel(lazy_parts(spark, sf_dir)))

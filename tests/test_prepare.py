@@ -109,6 +109,23 @@ def test_stacking_is_strict(spark):
     assert stack_parts([a, a.select("s", "n")]).count() == 2
 
 
+def test_bucketed_parts_join_without_an_exchange(spark):
+    from erascope.operators.joins import join_parts
+    from erascope.sources.bucketed import bucket_parts
+
+    parts = lazy_parts(spark, SMALL)
+    tables = bucket_parts(parts, buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = tables.joined(spark)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+        want = join_parts(parts.panel, parts.benchmark, parts.meta).select(*joined.columns)
+        assert joined.exceptAll(want).isEmpty() and joined.count() == want.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_left_join_rules(spark):
     left = spark.createDataFrame([("a", 1), ("b", 1), (None, 1)], "id string, era int")
     right = spark.createDataFrame([("a", 1, 0.1), ("a", 1, 0.2), (None, 1, 0.3)], "id string, era int, v double")
