@@ -91,27 +91,33 @@ def per_group(
     With ``auto`` small groups take the window plan and hot groups the prefix plan; the results are
     stacked. ``small_stats`` tells ``build`` that one row per group is known to fit a broadcast.
 
-    The prefix plan reads its input several times. A ``narrow`` input, one of few columns, is written down
-    once before that, so that what lies above it (a scan of a wide panel, a model) runs once.
+    The prefix plan reads its input several times, so what it works on is written down once before that. A ``narrow``
+    input, one of few columns, is written whole, apart for hot and other groups, so that what lies above it (a scan of a
+    wide panel, a model) runs once and each plan reads its own files; of a wide one only the hot groups are written.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}, got {strategy!r}")
     if not by:
         return build(df, "prefix", True)
     if strategy != "auto":
-        return build(written(df) if narrow and strategy == "prefix" else df, strategy, False)
+        return build(written(df) if strategy == "prefix" else df, strategy, False)
     profile = profile_groups(df, by, limit)
     small = profile.groups <= BROADCAST_GROUPS
     if profile.hot == 0:
         return build(df, "window", small)
-    df = written(df) if narrow else df
     if profile.hot == profile.groups:
-        return build(df, "prefix", small)
+        return build(written(df), "prefix", small)
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     hot = sizes.where(F.col("_n") > limit).select(*by, F.lit(True).alias("_hot"))
     # there is one hot group per ``limit`` rows of the table at most; their number was measured
     marked = join_back(df, F.broadcast(hot) if profile.hot <= BROADCAST_GROUPS else hot, by, by)
-    cold_rows, hot_rows = marked.where("_hot IS NULL").drop("_hot"), marked.where("_hot").drop("_hot")
+    marked = marked.withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    if narrow:
+        path = scratch_path(df.sparkSession, "rows")
+        marked.write.partitionBy("_hot").parquet(path)
+        cold_rows, hot_rows = (df.sparkSession.read.schema(df.schema).parquet(f"{path}/_hot={h}") for h in ("false", "true"))
+    else:
+        cold_rows, hot_rows = marked.where("NOT _hot").drop("_hot"), written(marked.where("_hot").drop("_hot"))
     return build(cold_rows, "window", small).unionByName(build(hot_rows, "prefix", small))
 
 

@@ -174,13 +174,13 @@ def annualized_return(payoff: Column | str) -> Column:
     )
 
 
-def score_summary(scores: DataFrame) -> DataFrame:
-    """M5-M8. One row: mean corr, mmc, payoff and the annual return of an era-score table."""
+def score_summary(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """M5-M8. Mean corr, mmc, payoff and the annual return of an era-score table: one row, or one per group of ``by``."""
     present = [m for m in METRICS if m in scores.columns]
     aggs = [mean_score(m).alias(m) for m in present]
     if "payoff" in present:
         aggs.append(annualized_return("payoff").alias("annual_return"))
-    return scores.agg(*aggs)
+    return scores.groupBy(*by).agg(*aggs)
 
 
 def corr(df: DataFrame, preds, target="target", meta=None, era: str | None = "era", **options) -> DataFrame:

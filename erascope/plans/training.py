@@ -26,6 +26,7 @@ from erascope.splits import Splits
 
 PREDICTION = "prediction"
 VALIDATION, TEST = "val", "test"
+SPLIT_ERA = "_split_era"
 
 # Rounds, learning rate and depth of the boosted-tree presets, and their column fraction.
 TREE_PRESETS = {
@@ -243,15 +244,26 @@ class Trainer:
 
 
 def populate_metrics(module: Module, data: PanelData) -> DataFrame:
-    """L10. Scores of both evaluation splits; a split turned off gives no rows."""
-    parts = []
-    if data.runs_split(VALIDATION):
-        parts.append(module.validate(data))
-    if data.runs_split(TEST):
-        parts.append(module.test(data))
-    if not parts:
+    """L10. Scores of both evaluation splits; a split turned off gives no rows.
+
+    Built-in scores of both splits come from one pass: their rows are stacked, predicted and scored by split and era.
+    """
+    splits = [(VALIDATION, data.val_dataset), (TEST, data.test_dataset)]
+    rows = {name: dataset() for name, dataset in splits if data.runs_split(name)}
+    if not rows:
         return data.panel.sparkSession.createDataFrame([], "split string, metric string, value double")
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    names = [m for m in module.metrics if isinstance(m, str)]
+    if len(rows) < 2 or len(names) < len(module.metrics):
+        return reduce(lambda a, b: a.unionByName(b), [module.evaluate(df, name, data.eval_target, data.meta) for name, df in rows.items()])
+    stacked = reduce(lambda a, b: a.unionByName(b), [
+        df.where(F.col(S.ERA).isNotNull()).withColumn(SPLIT_ERA, F.concat_ws(":", F.lit(name), S.ERA)) for name, df in rows.items()
+    ])
+    needed = [m for m in METRICS if m in names or (m == "payoff" and "annual_return" in names)]
+    scores = era_scores(module.predict(stacked), PREDICTION, data.eval_target, data.meta, SPLIT_ERA, needed, module.strategy)
+    summary = score_summary(scores.withColumn("split", F.substring_index(SPLIT_ERA, ":", 1)), ["split"])
+    # a split without eras has null scores, as when it is scored alone
+    every = data.panel.sparkSession.createDataFrame([(n,) for n in rows], "split string").join(summary, "split", "left")
+    return every.select("split", F.inline(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names])))
 
 
 @dataclass(frozen=True)
