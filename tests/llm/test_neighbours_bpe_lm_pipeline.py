@@ -254,3 +254,38 @@ def test_registered():
     assert [len([n for n in names if n.startswith(f"op{i}_")]) for i in range(1, 14)] == [1] * 13
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "personal_data", "source_mix", "bpe_encoding"]
     assert language.UNKNOWN == "und"
+
+
+def test_weights_come_from_every_training_token():
+    """Also from long tokens and from those that a sample by frequency would miss, by as often as they occur."""
+    rng = random.Random(9)
+    names = sorted({bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 5))) for _ in range(200)} | {b"x" * 200})
+    times = np.array([rng.randint(1, 50) for _ in names])
+    counts = tuple(np.zeros(mixing_lm.TOTAL) for _ in range(2))
+    mixing_lm.count_bits(names, times, *counts)
+    losses = []
+
+    def added_up(add, shape, model):
+        total = np.zeros(shape)
+        half = len(names) // 2
+        for part in (slice(None, half), slice(half, None)):  # as two tasks would
+            add(total, model, mixing_lm.halves(*counts), names[part], times[part])
+        if shape == mixing_lm.MOMENTS:
+            losses.append(total[:, 0].sum())
+        else:
+            assert total[0].sum() == pytest.approx(8 * sum((len(n) + 1) * t for n, t in zip(names, times, strict=True)))
+        return total
+
+    two = mixing_lm.fit(mixing_lm.log_odds(*counts), added_up, mixing_lm.Settings(rounds=4))
+    one = mixing_lm.learn(*counts, names, times, int(times.sum()), mixing_lm.Settings(rounds=4))
+    assert losses == sorted(losses, reverse=True) and losses[-1] < losses[0]
+    for name in ("by_place", "by_byte", "refined"):
+        assert np.allclose(getattr(one, name), getattr(two, name), atol=1e-4)
+
+
+def test_shares_adapt_to_the_text_so_far():
+    words, sizes = np.array([0, 0, 0, 0, 1, 2, 3, 4]), np.array([4, 4])
+    got = mixing_lm.mixed_shares(np.full(8, 1e-4), words, sizes, np.full(8, 1e-3), mixing_lm.first_shares(100, 20))
+    alone = mixing_lm.mixed_shares(np.full(4, 1e-4), words[4:], sizes[1:], np.full(4, 1e-3), mixing_lm.first_shares(100, 20))
+    assert (np.diff(got[:4]) > 0).all() and got[4:] == pytest.approx(alone) and got[7] > got[5]
+    assert mixing_lm.first_shares(0, 0).tolist() == [0, 0, 1]
