@@ -42,13 +42,14 @@ def count_values(df: DataFrame, features: Sequence[str], levels: int = S.FEATURE
 
 
 def count_with_target(
-    df: DataFrame, features: Sequence[str], code: Column, levels: int = S.FEATURE_LEVELS
+    df: DataFrame, features: Sequence[str], code: Column, levels: int = S.FEATURE_LEVELS, weight: str | None = None
 ) -> DataFrame:
-    """A8. ``(f, x, y, n)``; ``code`` is the target class, rows without one take no part."""
+    """A8. ``(f, x, y, n)``; ``code`` is the target class, rows without one take no part. A row counts ``weight`` times."""
     entries = [F.struct(F.lit(i).alias("f"), checked(c, levels).alias("x")) for i, c in enumerate(features)]
-    rows = df.select(checked_class(code, levels).alias("y"), *features).where(F.col("y").isNotNull())
-    long = rows.select(F.inline(F.array(*entries)), "y")
-    return long.groupBy("f", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    times = F.col(weight) if weight else F.lit(1)
+    rows = df.select(checked_class(code, levels).alias("y"), *features, times.cast("long").alias("_n")).where(F.col("y").isNotNull())
+    long = rows.select(F.inline(F.array(*entries)), "y", "_n")
+    return long.groupBy("f", "x", "y").agg(F.sum("_n").alias("n"))
 
 
 def pair_entries(features: Sequence[str], levels: int = S.FEATURE_LEVELS) -> Column:
@@ -84,20 +85,32 @@ def count_pairs_with_target(
     rows = df.select(checked_class(code, levels).alias("_y"), *dict.fromkeys(features))
     rows = rows.where(F.col("_y").isNotNull())
     if method == "auto":
-        method = "tuples" if levels ** (len(features) + 1) <= MAX_TUPLES else "tiles"
+        method = "tuples" if few_tuples(features, levels) else "tiles"
     if method == "tuples":
-        tuples = rows.groupBy("_y", *features).agg(F.count(F.lit(1)).alias("_n"))
+        tuples = count_tuples(df, features, code, levels)
         pairs = tuples.select(F.inline(pair_entries(features, levels)), F.col("_y").alias("y"), "_n")
         return pairs.groupBy("f1", "f2", "u", "v", "y").agg(F.sum("_n").alias("n"))
     return _tiled(rows, list(features), levels, tile, max_tasks)
 
 
+def few_tuples(features: Sequence[str], levels: int = S.FEATURE_LEVELS) -> bool:
+    """Whether rows are counted per distinct feature tuple first."""
+    return levels ** (len(features) + 1) <= MAX_TUPLES
+
+
+def count_tuples(df: DataFrame, features: Sequence[str], code: Column, levels: int = S.FEATURE_LEVELS) -> DataFrame:
+    """``(_y, *features, _n)``: how many rows have each tuple of values; rows without a target class take no part."""
+    names = list(dict.fromkeys(features))
+    rows = df.select(checked_class(code, levels).alias("_y"), *names).where(F.col("_y").isNotNull())
+    return rows.groupBy("_y", *names).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def count_pairs_between(
-    rows: DataFrame, features: Sequence[str], left: Sequence[int], right: Sequence[int], levels: int = S.FEATURE_LEVELS
+    rows: DataFrame, features: Sequence[str], left: Sequence[int], right: Sequence[int], levels: int = S.FEATURE_LEVELS, weight: str | None = None
 ) -> DataFrame:
     """``(f1, f2, y, cells)`` for every feature of ``left`` with every one of ``right``, by position.
 
-    ``rows`` have the features and the class ``_y``. ``cells`` counts the values ``(u, v)`` in order. A task holds as many
+    ``rows`` have the features and the class ``_y``; a row counts ``weight`` times. ``cells`` counts the values ``(u, v)`` in order. A task holds as many
     features of ``left`` at once as fit with ``right`` into the cells of two full tiles, and reads the columns of these only.
     """
     size = max(1, TILE * TILE // max(1, len(right)))
@@ -107,8 +120,8 @@ def count_pairs_between(
     for start in range(0, len(left), size):
         some = list(left[start : start + size])
         needed = dict.fromkeys([features[i] for i in some] + [features[i] for i in right])
-        part = rows.select("_y", *needed).coalesce(partial_tasks(rows.sparkSession))
-        counted = part.mapInArrow(_one_hot_counter(list(features), some, list(right), levels, ordered=False), schema)
+        part = rows.select("_y", *needed, *([weight] if weight else [])).coalesce(partial_tasks(rows.sparkSession))
+        counted = part.mapInArrow(_one_hot_counter(list(features), some, list(right), levels, ordered=False, weight=weight), schema)
         partial = counted if partial is None else partial.unionAll(counted)
     summed = partial.groupBy("f1", "f2", "y").agg(*[F.sum(c).alias(c) for c in cells])
     return summed.select("f1", "f2", "y", F.array(*cells).alias("cells"))
@@ -169,7 +182,9 @@ def _tiled(rows: DataFrame, features: list[str], levels: int, tile: int, max_tas
     return long.where(F.col("n") > 0).select("f1", "f2", "u", "v", "y", "n")
 
 
-def _one_hot_counter(features: list[str], left: Sequence[int], right: Sequence[int], levels: int, ordered: bool = True):
+def _one_hot_counter(
+    features: list[str], left: Sequence[int], right: Sequence[int], levels: int, ordered: bool = True, weight: str | None = None
+):
     """Function for ``mapInArrow``: counts of all value pairs of two feature tiles, per target class.
 
     ``ordered`` keeps only pairs whose first feature does not stand behind the second.
@@ -203,6 +218,9 @@ def _one_hot_counter(features: list[str], left: Sequence[int], right: Sequence[i
             y = batch.column(batch.schema.get_field_index("_y")).to_numpy(zero_copy_only=False)
             a = one_hot(batch, first)
             b = a if same else one_hot(batch, second)
+            if weight:
+                # in double, where products are exact up to 2**53 rows
+                a = a * batch.column(batch.schema.get_field_index(weight)).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
             for k in np.unique(y):
                 pick = y == k
                 total[k] += (a[pick].T @ b[pick]).astype(np.int64)

@@ -26,7 +26,7 @@ from erascope.operators.gram import ONE, gram
 from erascope.operators.information import cmi_of_pairs, mi_of_pairs, mi_with_target, pair_information
 from erascope.operators.joins import attach_left, stack_parts
 from erascope.operators.linear import LeastSquares, LinearModel, fit_ols
-from erascope.operators.lazy_ordering import lazy_greedy_order
+from erascope.operators.lazy_ordering import lazy_greedy_orders
 from erascope.operators.ordering import greedy_order, greedy_order_steps, named_order
 from erascope.operators.selection import (
     AttributionStrategy,
@@ -802,9 +802,8 @@ def f9_greedy_steps(spark, sf_dir):
 @query
 def f9_lazy_orders(spark, sf_dir):
     """The orders of the criteria with running maxima, without a pair table."""
-    panel = event_panel(spark, sf_dir)
-    orders = [lazy_greedy_order(panel, EVENT_FEATURES, code(), c, first=3) for c in ("CMIM", "JMIM", "DMIM")]
-    return union(orders).select("method", "pos", "f")
+    orders = lazy_greedy_orders(event_panel(spark, sf_dir), EVENT_FEATURES, code(), ("CMIM", "JMIM", "DMIM"), first=3)
+    return orders.select("method", "pos", "f")
 
 
 @query

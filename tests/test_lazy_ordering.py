@@ -86,3 +86,22 @@ def test_long_lists_take_other_ways_to_the_same_order(spark, wide, whole, monkey
     panel = rows.withColumn("era", F.lit(1))
     order = feature_ranking.rank_features(panel, some, era_1=5, criteria=["JMIM"], top_k=4).orderBy("pos")
     assert [r["feature"] for r in order.collect()] == [some[f] for f in want]
+
+
+def test_rows_are_read_once_where_few_tuples_are_possible(spark, wide, whole):
+    """All criteria together read the rows once, and the orders are those of the whole table."""
+    rows, names = wide
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    some = names[:5]
+    got = L.lazy_greedy_orders(rows.mapInArrow(seen, rows.schema), some, target_code("target"), ["CMIM", "JMIM", "DMIM"], first=2)
+    assert reads.value == rows.count()
+    pairs = spark.createDataFrame(whole[(whole["f1"] < 5) & (whole["f2"] < 5)])
+    want = greedy_order(pairs, ["CMIM", "JMIM", "DMIM"])
+    key = ["method", "pos", "f"]
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
