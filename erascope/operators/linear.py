@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from erascope.errors import NotTrained, SingularSystem
 from erascope.operators.gram import ONE, gram_matrix
 
 INTERCEPT = "(intercept)"
+# Terms up to which a prediction is a plain sum; the code of longer ones is more than the JVM compiles.
+PLAIN_TERMS = 32
 
 
 @dataclass(frozen=True)
@@ -25,14 +30,24 @@ class LinearModel:
     intercepts: tuple[float, ...]
 
     def expression(self, target: int = 0, features: Sequence[str] | None = None) -> Column:
-        """Prediction as a Column: products of two arrays added up, so its depth does not grow with the features."""
+        """Prediction as a Column: products added up in the order of the features, column by column in Arrow if they are many.
+
+        A null feature makes it null.
+        """
         names = self.check(features)
-        if not names:
-            return F.lit(self.intercepts[target])
-        values = F.array(*[F.col(name).cast("double") for name in names])
-        weights = F.lit(np.array(self.coefficients[target], dtype=np.float64))
-        products = F.zip_with(values, weights, lambda x, b: x * b)
-        return F.aggregate(products, F.lit(float(self.intercepts[target])), lambda total, x: total + x)
+        values = [F.col(name).cast("double") for name in names]
+        start, weights = float(self.intercepts[target]), [float(b) for b in self.coefficients[target]]
+        if len(names) <= PLAIN_TERMS:
+            return reduce(lambda total, term: total + term[0] * F.lit(term[1]), zip(values, weights, strict=True), F.lit(start))
+
+        @F.arrow_udf("double")
+        def predict(*columns: pa.Array) -> pa.Array:
+            total = pa.scalar(start)
+            for x, b in zip(columns, weights, strict=True):
+                total = pc.add(total, pc.multiply(x, b))
+            return total
+
+        return predict(*values)
 
     def check(self, features: Sequence[str] | None) -> Sequence[str]:
         names = self.features if features is None else list(features)

@@ -376,3 +376,25 @@ def test_text_that_looks_like_json_is_a_leaf(spark):
     got = {(r["run_id"], r["key"]): r["value"] for r in flatten_json(frame, "run", "doc").collect()}
     text = lambda v: None if v is None else json.dumps(v) if isinstance(v, bool) else str(v)
     assert got == {(str(i), k): text(v) for i, d in enumerate(documents) for k, v in flatten(d).items()}
+
+
+def test_wide_prediction_is_one_arrow_function(spark):
+    """Not an interpreted expression; terms in order, null where a feature is null, NaN where one is NaN."""
+    from erascope.operators.linear import PLAIN_TERMS, LinearModel
+
+    for size in (3, PLAIN_TERMS + 1, 70):
+        weights = tuple(0.1 * (i + 1) for i in range(size))
+        data = [[float(i * k % 7) / 3 for i in range(size)] for k in range(5)]
+        data[3][1], data[4][2] = None, float("nan")
+        names = [f"x{i}" for i in range(size)]
+        rows = spark.createDataFrame([(k, *row) for k, row in enumerate(data)], "k int, " + ", ".join(f"{n} double" for n in names))
+        scored = LinearModel(tuple(names), ("target",), (weights,), (0.25,)).transform(rows)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "zip_with" not in plan and ("ArrowEvalPython" in plan) == (size > PLAIN_TERMS)
+        got = [r["prediction"] for r in scored.orderBy("k").collect()]
+        for k in range(3):
+            want = 0.25
+            for x, b in zip(data[k], weights):
+                want += x * b
+            assert got[k] == want
+        assert got[3] is None and got[4] != got[4]
