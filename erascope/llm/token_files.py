@@ -124,13 +124,13 @@ class IdEncoder:
         if not self.cuts:
             return self.ids(texts)
         split = [self.cut(t) for t in texts]
-        known, missing = self.pieces.known({p for ps in split for p in ps})
+        known, missing = self.pieces.known(set().union(*split))
         whole = [p for p in missing if not self.plain(p)]
         fresh = dict(zip(whole, self.ids(whole), strict=True))
         fresh.update((p, self.piece(p)) for p in missing if p not in fresh)
         self.pieces.keep(fresh)
         known |= fresh
-        return [b"".join([known[p] for p in ps]) for ps in split]
+        return [b"".join(map(known.__getitem__, ps)) for ps in split]
 
 
 def id_width(content: str) -> int:
