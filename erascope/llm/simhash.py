@@ -44,17 +44,27 @@ def block_masks() -> list[int]:
     return [sum(chosen) for chosen in combinations(blocks, BLOCKS - RADIUS)]
 
 
-def fingerprint(text: str | None) -> int:
-    """Majority bit by bit over the hashes of the word shingles; 0 without words."""
+def majority(hashes: np.ndarray) -> int:
+    """Each bit that is set in over half of the 64-bit hashes, repeats included; 0 without any."""
+    ones = np.zeros(BITS, np.int64)
+    for start in range(0, len(hashes), CHUNK):
+        chunk = hashes[start : start + CHUNK].astype(">u8")
+        ones += np.unpackbits(chunk.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of ``size`` words, in order; a text with fewer words is one shingle, without words none."""
     words = text_bytes(text).split()
     if not words:
-        return 0
-    shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(SHINGLE)), strict=False)] or [b" ".join(words)]
-    ones = np.zeros(BITS, np.int64)
-    for start in range(0, len(shingles), CHUNK):
-        hashes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles[start : start + CHUNK]], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(shingles)).tobytes(), "big")
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(s) for s in zip(*(words[i:] for i in range(size)), strict=False)] or [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+
+
+def fingerprint(text: str | None) -> int:
+    """Majority bit by bit over the hashes of the word shingles; 0 without words."""
+    return majority(shingle_hashes(text))
 
 
 @F.pandas_udf(LongType())
@@ -136,7 +146,8 @@ def keep_first(docs: DataFrame, narrow: DataFrame, linked: DataFrame) -> DataFra
         return keyed["doc_id"].eqNullSafe(keys["doc_id"]) & (keyed[name] == keys["hash"])
 
     gone = staged(judged.filter(~F.col("stays") | (F.col("rows") > 1)).select("doc_id", "hash", "stays"), "simhash-gone")
-    kept = keyed.join(gone, of(gone), "left_anti")
+    # what goes grows with the corpus, so it is not broadcast at any size
+    kept = keyed.join(gone.hint("merge"), of(gone), "left_anti")
     once = gone.filter("stays")
     if not once.isEmpty():  # rows that are repeated as they are
         kept = kept.unionByName(keyed.join(once, of(once), "left_semi").dropDuplicates(["doc_id", name]))

@@ -8,7 +8,7 @@ from llm_tables import DOCUMENTS, clashing, none, odd, rows_of  # noqa: F401
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from erascope.llm import near_copies
+from erascope.llm import near_copies, simhash
 from erascope.llm.common import table
 
 
@@ -108,6 +108,53 @@ def test_two_groups_in_the_same_buckets(spark):
     assert stage_ids(spark, frame(spark, texts)) == kept_ids(list(enumerate(texts)))
 
 
+def variants(rows, changes, seed=5):
+    """A text of 150 words, and texts that replace some of its words at random places."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(rows):
+        other = list(base)
+        for at in rng.sample(range(150), rng.choice(changes)):
+            other[at] = f"z{rng.random()}"
+        texts.append(" ".join(other))
+    return texts
+
+
+def test_fingerprints_link_texts(spark, monkeypatch):
+    """Without any bucket, texts whose fingerprints are within two bits of each other are still found."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda sign: F.array(F.col("print")))
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(base), " ".join([*base, "x"]), " ".join([*base, *base]), " ".join(f"v{rng.random()}" for _ in range(2000)), "", " "]
+    prints = [simhash.majority(simhash.shingle_hashes(t, near_copies.SHINGLE)) for t in texts]
+    assert all((p ^ prints[0]).bit_count() <= simhash.RADIUS for p in prints[1:3]) and len(set(prints[:3])) > 1
+    assert stage_ids(spark, frame(spark, texts)) == [0, 3, 4]
+
+
+def test_rare_pairs_hold_every_similar_pair(spark):
+    texts = variants(60, range(7)) + shared_passage(30, 60, 20) + [" ".join(f"w{i}" for i in range(n)) for n in (3, 5, 6, 20, 24, 25, 121, 122, 150)]
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    found = near_copies.rare_pairs(
+        spark.createDataFrame([r[:2] for r in rows], "print long, root long"), spark.createDataFrame(rows, "print long, root long, text string")
+    )
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(a & b) >= 0.8 * len(a | b)}
+    pairs = {tuple(r) for r in found.collect()}
+    assert len(want) > 500 and want <= pairs and len(pairs) < 2 * len(want)
+
+
+def test_variants_of_one_text_that_are_not_similar_do_not_meet(spark, monkeypatch):
+    tried = []
+    whole = near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda pairs, *rest: tried.append(pairs.count()) or whole(pairs, *rest))
+    for rows in (80, 240):
+        tried.clear()
+        texts = variants(rows, (5, 6))
+        assert stage_ids(spark, frame(spark, texts)) == kept_ids(list(enumerate(texts)))
+        assert tried[-1] < rows
+
+
 def test_odd_rows(spark, clashing, none):
     kept = near_copies.keep_one_of_near_copies(clashing)
     assert kept.columns == clashing.columns
