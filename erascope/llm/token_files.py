@@ -25,7 +25,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from erascope.llm.common import Memory, staged
+from erascope.llm.common import staged
 from erascope.session import scratch_path
 
 END_ID = 2
@@ -47,7 +47,7 @@ SLICE_IDS = 512  # ids of such a slice
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BATCH_LETTERS = 1 << 20  # letters that are encoded at once
-KNOWN = 400_000  # pieces of either kind that a worker keeps (see ``Memory``)
+KNOWN = 400_000  # pieces of a generation that a worker keeps (see ``Pieces``)
 
 HEADER, FOOTER = "<8sHH32s", "<qq8s"
 HEADER_SIZE, FOOTER_SIZE = struct.calcsize(HEADER), struct.calcsize(FOOTER)
@@ -65,6 +65,30 @@ LETTERS = {byte: chr(256 + i) for i, byte in enumerate(b for b in range(256) if
 SPACE = LETTERS[32]
 
 
+class Pieces(dict):
+    """Ids by piece of text; what is not kept is encoded when it is asked for. Pure speed, results do not depend on it.
+
+    Of two generations of at least ``size`` pieces the older one goes; what is asked for again moves to the younger.
+    """
+
+    def __init__(self, size: int, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.size, self.encode = size, encode
+        self.before: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
+
+    def shrink(self) -> None:
+        if len(self) >= self.size:
+            self.before = dict(self)
+            self.clear()
+
+
 class IdEncoder:
     """Ids of texts as little-endian bytes, by the tokenizers library, which encodes each distinct piece of text once.
 
@@ -87,7 +111,7 @@ class IdEncoder:
         self.marks = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         self.kind = f"<u{id_width(content)}"
         self.code = {2: "H", 4: "I"}[id_width(content)]
-        self.pieces = Memory(KNOWN)
+        self.pieces = Pieces(KNOWN, self.piece)
         if self.cuts:
             # the library's own model, for pieces that are cut already
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in parts["model"]["merges"]]
@@ -123,14 +147,15 @@ class IdEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.ids(texts)
-        split = [self.cut(t) for t in texts]
-        known, missing = self.pieces.known(set().union(*split))
-        whole = [p for p in missing if not self.plain(p)]
-        fresh = dict(zip(whole, self.ids(whole), strict=True))
-        fresh.update((p, self.piece(p)) for p in missing if p not in fresh)
-        self.pieces.keep(fresh)
-        known |= fresh
-        return [b"".join(map(known.__getitem__, ps)) for ps in split]
+        plain = [self.plain(t) for t in texts]
+        split = [PIECES.findall(t) if p else self.cut(t) for t, p in zip(texts, plain, strict=True)]
+        # pieces that the model alone cannot encode occur in other texts only
+        others = set().union(*(ps for ps, p in zip(split, plain, strict=True) if not p))
+        whole = [p for p in others if p not in self.pieces and not self.plain(p)]
+        self.pieces.update(zip(whole, self.ids(whole), strict=True))
+        encoded = [b"".join(map(self.pieces.__getitem__, ps)) for ps in split]
+        self.pieces.shrink()
+        return encoded
 
 
 def id_width(content: str) -> int:

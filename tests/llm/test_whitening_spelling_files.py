@@ -322,3 +322,25 @@ def test_other_tokenizers_encode_whole_texts():
     made = Tokenizer.from_file(path)
     texts = ["Hello  World", "", "it's"]
     assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(texts)] == [made.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_that_come_again_are_encoded_once():
+    """A piece is looked up once per place and encoded when it is new; what is asked for again outlives its generation."""
+    asked = []
+    pieces = token_files.Pieces(3, lambda piece: asked.append(piece) or piece.encode())
+    for i in range(9):
+        assert b"".join(map(pieces.__getitem__, ["the", f"w{i}", f"v{i}"])) == f"thew{i}v{i}".encode()
+        pieces.shrink()
+        assert len(pieces) < 3 and len(pieces.before) <= 3
+    assert asked.count("the") == 1 and len(asked) == 19
+
+
+def test_texts_of_all_kinds_share_their_pieces():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        content = file.read()
+    encoder = token_files.IdEncoder(content)
+    encoder.pieces.size = 4
+    texts = ["the cat", "the мир cat", "<|endoftext|> the", "", "  a\n\n b", "the 你好 cat's <|endoftext|>", "мир the cat"]
+    for some in (texts, texts[::-1], texts[:2]):
+        assert encoder.encode(some) == encoder.ids(some)
