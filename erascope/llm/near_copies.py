@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from erascope.llm.common import staged
+from erascope.llm.common import small_batches, staged
 from erascope.llm.graph import components
 from erascope.llm.simhash import SEED, keep_first, link_prints, majority, near_links, shingle_hashes, signed
 
@@ -43,6 +43,7 @@ ROUNDS = 2  # with a centre per bucket at most; what they leave is paired in any
 PARITIES = 4  # words of 64 parities
 PARITY = [f"parity_{i}" for i in range(PARITIES)]
 CHUNK = 1 << 12
+HANDED = 1 << 9  # rows that a Python worker gets at once
 BATCH = 1 << 6  # texts or pairs of texts that are held at once
 
 _RANDOM = np.random.default_rng(SEED)
@@ -231,6 +232,11 @@ def keep_one_of_near_copies(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
+    with small_batches(docs.sparkSession, HANDED):
+        return _kept(docs, rows, kind)
+
+
+def _kept(docs: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
     found = staged(rows.mapInPandas(_signed_texts, f"id {kind}, hash long, print long, fingerprint long, sign binary"), "near-prints")
     narrow = found.select(F.col("id").alias("doc_id"), "hash", "print")
 
